@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import small_batches
 
 #: Bounds of the fit: labelled texts in all, landmarks in all, n-grams that enter the kernel.
-TRAIN_TEXTS, LANDMARKS, NGRAMS, RIDGE = 1200, 96, 6000, 1e-3
+TRAIN_TEXTS, LANDMARKS, NGRAMS, RIDGE = 600, 96, 6000, 1e-3
 #: Languages that can be told apart; rarer ones beyond this count are not learned.
 MAX_LANGS = 200
 UNKNOWN = "und"
@@ -68,15 +68,22 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def fit(langs: list[str], bits: np.ndarray) -> Model:
-    """Model of labelled presence vectors, one a row."""
+def unpacked(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=TABLE)
+
+
+def fit(langs: list[str], bits: list[bytes]) -> Model:
+    """Model of labelled presence vectors, each packed into bytes."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs], np.int64)
     # n-grams whose presence differs most between languages, and no others, span the kernel
-    means = np.stack([bits[y == k].mean(axis=0, dtype=np.float64) for k in range(len(names))])
+    means = np.zeros((len(names), TABLE), np.float32)
+    for k, packed in zip(y, bits):
+        means[k] += unpacked(packed)
+    means /= np.bincount(y, minlength=len(names))[:, None]
     spread = means.var(axis=0) if len(names) > 1 else means[0]
     grams = np.sort(np.argsort(-spread, kind="stable")[: min(NGRAMS, int((means.max(axis=0) > 0).sum()))])
-    x = bits[:, grams].astype(np.float64)
+    x = np.stack([unpacked(packed)[grams] for packed in bits]).astype(np.float64)
     x /= np.maximum(1.0, np.sqrt(x.sum(axis=1, keepdims=True)))
     per = max(1, LANDMARKS // len(names))
     chosen = np.concatenate([np.flatnonzero(y == k)[:per] for k in range(len(names))])
@@ -103,15 +110,15 @@ def score(model: Model, texts: list[bytes]) -> np.ndarray:
     return (x @ model.landmarks) @ model.weights[:-1] + model.weights[-1]
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_texts: int) -> tuple[list[str], np.ndarray]:
-    """Presence vectors of at most about ``train_texts`` labelled texts, equally many of each language.
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_texts: int) -> tuple[list[str], list[bytes]]:
+    """Packed presence vectors of at most about ``train_texts`` labelled texts, equally many of each language.
 
     The sample goes by a hash of the id; texts stay on the executors, 33 KB a text come back.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("x"), F.col(lang_col).alias("lang"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
-        return [], np.zeros((0, TABLE), bool)
+        return [], []
     each = max(1, train_texts // len(counts))
     space = 1 << 30
     hashed = F.pmod(F.xxhash64("i", "x"), F.lit(space))
@@ -126,8 +133,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     small_batches(docs.sparkSession)
     sample = rows.select(hashed.alias("h"), "x", "lang").where(F.col("h") < below[F.col("lang")])
     got = sample.mapInArrow(run, "h bigint, lang string, bits binary").orderBy("h", "lang", "bits").limit(2 * train_texts).collect()
-    bits = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=TABLE).astype(bool) for r in got]) if got else np.zeros((0, TABLE), bool)
-    return [r["lang"] for r in got], bits
+    return [r["lang"] for r in got], [bytes(r["bits"]) for r in got]
 
 
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_texts: int = TRAIN_TEXTS) -> DataFrame:
