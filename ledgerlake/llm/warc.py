@@ -25,7 +25,7 @@ from ledgerlake.llm.common import new_path, small_batches, staged
 #: Bytes of an archive after which the next one begins; bytes handed to the file system at once.
 ARCHIVE_BYTES, WRITE_BYTES = 512 << 20, 4 << 20
 #: A read spans gaps up to the first and ends beyond the second; one task's ranges lie in the third.
-GAP_BYTES, READ_BYTES, TASK_BYTES = 64 << 10, 8 << 20, 64 << 20
+GAP_BYTES, READ_BYTES, TASK_BYTES = 64 << 10, 8 << 20, 16 << 20
 #: Digests that more than one record has, up to which they are broadcast (about 100 bytes each).
 BROADCAST_DIGESTS = 100_000
 DATE = "2000-01-01T00:00:00Z"
@@ -179,7 +179,9 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
         source and source.close()
 
     small_batches(index.sparkSession)
-    dealt = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / TASK_BYTES)).sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = 1 + 2 * total // TASK_BYTES  # by the bytes to fetch, of which the index rows themselves show nothing
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / TASK_BYTES)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, schema)
 
 
