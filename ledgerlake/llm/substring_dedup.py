@@ -29,6 +29,10 @@ ANCHOR_RADIUS, ANCHOR_WORDS = 4, 3
 RECALL, MAX_BANDS = 0.999, 7
 #: Rows of a table of two integers up to which it is broadcast (16 bytes each).
 BROADCAST_ROWS = 500_000
+#: Members and words of a bucket that one task compares; larger ones are compared by joins.
+GROUP_MEMBERS, GROUP_WORDS = 4096, 1_000_000
+#: Sets that hold an element up to which it is counted by its posting.
+WIDE_POSTING = 64
 DOC, LINE, WINDOW = 0, 1, 2
 
 _rng = np.random.default_rng(20_240_229)
@@ -180,25 +184,90 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def linked_inside(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the smallest position of its component under Jaccard links, all pairs compared.
+
+    Common elements are counted by a matrix product, elements that few sets hold by their
+    postings, so the work on a group of near copies stays far below a comparison of every pair.
+    """
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(m), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.zeros((m, m), np.float32)
+    wide = count > WIDE_POSTING
+    if wide.any():
+        number = np.cumsum(wide) - 1
+        at = wide[column]
+        dense = np.zeros((m, int(wide.sum())), np.float32)
+        dense[owner[at], number[column[at]]] = 1
+        common += dense @ dense.T
+    narrow = np.flatnonzero((count[column] > 1) & ~wide[column])
+    narrow = narrow[np.argsort(column[narrow], kind="stable")]
+    for posting in np.split(owner[narrow], np.flatnonzero(np.diff(column[narrow])) + 1) if len(narrow) else []:
+        common[np.ix_(posting, posting)] += 1
+    near = common >= similarity * (sizes[:, None] + sizes[None, :] - common)
+    label = np.full(m, -1)
+    for first in range(m):
+        if label[first] >= 0:
+            continue
+        front = np.array([first])
+        label[first] = first
+        while len(front):
+            reached = near[front].any(axis=0) & (label < 0)
+            front = np.flatnonzero(reached)
+            label[front] = first
+    return label
+
+
+def links_inside(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``a, b`` that span the components of each group ``key`` of ``members`` (``key, h``)."""
+    grouped = members.join(sets, "h").groupBy("key").agg(F.collect_list(F.struct("h", "shingles")).alias("xs")).select("xs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(batch.num_rows):
+                group = batch.column(0)[i].values
+                h = group.field("h").to_numpy()
+                label = linked_inside(group.field("shingles").to_numpy(zero_copy_only=False), similarity)
+                other = np.flatnonzero(label != np.arange(len(h)))
+                a.append(h[label[other]])
+                b.append(h[other])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    members.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The same for groups too large for one task: the first member (``c``) against all, then what is still apart."""
+    stars = members.where("h <> c").select(F.col("c").alias("a"), F.col("h").alias("b")).distinct()
+    links = staged(verified(stars, sets, similarity), "links")
+    comps = staged(connected_components(links), "comps")
+    classed = members.join(comps.withColumnRenamed("node", "h"), "h", "left").where("h <> c").select("key", "h", F.coalesce("root", "h").alias("root"))
+    apart = classed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    left = staged(classed.join(apart, "key", "left_semi"), "apart")
+    crossed = left.withColumnRenamed("h", "a").join(left.toDF("key", "b", "other"), "key").where("root <> other and a < b").select("a", "b").distinct()
+    return links.unionByName(staged(verified(crossed, sets, similarity), "links"))
+
+
 def paragraph_classes(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """``h, keeper`` for the paragraphs whose class occurs in several documents; keeper: the smallest of these."""
-    uniq = staged(lines.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("bands").alias("bands")), "uniq")
-    keyed = uniq.select("h", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("h").alias("c"), F.max("h").alias("top")).where("c < top").select("key", "c")
-    members = staged(keyed.join(buckets, "key"), "members")
+    uniq = staged(lines.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("words").alias("words"), F.first("bands").alias("bands")), "uniq")
+    keyed = uniq.select("h", "words", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("h").alias("c"), F.max("h").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("words").alias("total"), F.expr("bit_xor(h)").alias("all"), F.expr("bit_xor(xxhash64(h))").alias("all2"))
+    # Bands that gather the same paragraphs are one bucket.
+    buckets = buckets.where("c < top").groupBy("c", "top", "n", "total", "all", "all2").agg(F.min("key").alias("key"))
+    members = staged(keyed.join(buckets, "key").select("key", "h", "c", "n", "total"), "members")
     wanted = staged(members.select("h").distinct().join(uniq.select("h", "least"), "h").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list("h").alias("hs")), "wanted")
     sets = staged(shingle_sets(docs, wanted, id_col, text_col), "sets")
-    # Every member against the first of its bucket, then whatever lies in different classes of a bucket.
-    stars = members.where("h <> c").select(F.col("c").alias("a"), F.col("h").alias("b")).distinct()
-    links = staged(verified(stars, sets, similarity), "links")
-    comps = staged(connected_components(links), "comps")
-    classed = members.join(comps.withColumnRenamed("node", "h"), "h", "left").select("key", "h", "c", F.coalesce("root", "h").alias("root"))
-    mixed_buckets = classed.where("h <> c").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(classed.where("h <> c").join(mixed_buckets, "key", "left_semi").select("key", "h", "root"), "open")
-    other = open_.toDF("key", "b", "other")
-    crossed = open_.withColumnRenamed("h", "a").join(other, "key").where("root <> other and a < b").select("a", "b").distinct()
-    more = staged(verified(crossed, sets, similarity), "links")
-    comps = connected_components(links.unionByName(more))
+    fits = (F.col("n") <= GROUP_MEMBERS) & (F.col("total") <= GROUP_WORDS)
+    links = links_inside(members.where(fits).select("key", "h"), sets, similarity)
+    rest = members.where(~fits).select("key", "h", "c")
+    if not rest.isEmpty():
+        links = links.unionByName(links_across(rest, sets, similarity))
+    comps = connected_components(links)
     rooted = uniq.join(comps.withColumnRenamed("node", "h"), "h", "left").select("h", "least", "most", F.coalesce("root", "h").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("keeper"), F.max("most").alias("most")).where("keeper < most").select("root", "keeper")
     return rooted.join(classes, "root").select("h", "keeper")
