@@ -134,13 +134,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             ),
         ),
     )
-    found = found.withColumn("needed", needed).withColumn(
+    # Equal votes lie side by side once sorted, and a template has at most ``needed`` votes for a start.
+    found = found.withColumn("needed", needed).withColumn("votes", F.array_sort(F.coalesce("votes", F.array().cast("array<struct<t:int,start:int>>"))))
+    found = found.withColumn(
         "agreed",
-        F.expr(
-            f"""filter(transform(array_distinct(coalesce(votes, array())),
-                    c -> struct(c.t as t, c.start as start, size(filter(votes, v -> v = c)) / needed[c.t] as share)),
-                    c -> c.share >= {AGREEING} and holds[c.t])"""
-        ),
+        F.when(
+            F.size("votes") > 0,
+            F.expr(
+                f"""filter(transform(
+                        filter(sequence(0, size(votes) - 1), i -> not (get(votes, i - 1) <=> votes[i])),
+                        i -> struct(votes[i].t as t, votes[i].start as start,
+                                    size(filter(sequence(0, needed[votes[i].t] - 1), k -> get(votes, i + k) <=> votes[i])) / needed[votes[i].t] as share)),
+                        c -> c.share >= {AGREEING} and holds[c.t])"""
+            ),
+        ).otherwise(F.array().cast("array<struct<t:int,start:int,share:double>>")),
     )
     found = found.withColumn("names", labels)
     all_labels = F.array_sort(F.array_distinct(F.concat("base_found", F.transform("agreed", lambda c: F.col("names")[c["t"]]))))

@@ -95,7 +95,7 @@ def lace(frames: list[bytes], kind: int) -> bytes:
     if kind == XIPH_LACING:
         head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
     elif kind == EBML_LACING:
-        head += size_vint(sizes[0])
+        head += size_vint(sizes[0]) if len(sizes) > 1 else b""
         for before, now in zip(sizes, sizes[1:-1]):
             step = now - before
             width = next(n for n in range(1, 9) if abs(step) < (1 << 7 * n - 1) - 1)

@@ -140,12 +140,13 @@ def mix(
 def realise(docs: DataFrame, draws: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as it was drawn, with the columns they came with.
 
-    Texts are not shuffled for rows that are drawn the usual number of times more than needed:
-    draws are counted per (id, text hash) first. Rows that repeat both share their draws evenly.
+    Draws are counted per id and text. Rows that repeat both share their draws: the whole
+    passes evenly, so that none is lost.
     """
-    times = draws.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times"))
-    held = docs.withColumn("h_", F.xxhash64(F.col(text_col)))
-    alike = held.groupBy(F.col(id_col).cast("bigint").alias("k_"), F.col("h_").alias("kh_")).agg(F.count(F.lit(1)).alias("alike_"))
-    share = times.join(alike, times["doc_id"].eqNullSafe(alike["k_"]) & (times["h"] == alike["kh_"])).select("k_", "kh_", F.ceil(F.col("times") / F.col("alike_")).cast("int").alias("each_"))
-    out = held.join(share, held[id_col].cast("bigint").eqNullSafe(share["k_"]) & (held["h_"] == share["kh_"]))
-    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("each_")))).select(*docs.columns)
+    times = draws.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.count(F.lit(1)).alias("__times"))
+    held = docs.withColumn("__text", F.xxhash64(F.col(text_col)))
+    key = F.col(id_col).cast("bigint")
+    alike = held.groupBy(key.alias("__id2"), F.col("__text").alias("__h2")).agg(F.count(F.lit(1)).alias("__alike"))
+    share = times.join(alike, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__h") == F.col("__h2"))).select("__id", "__h", F.ceil(F.col("__times") / F.col("__alike")).cast("int").alias("__each"))
+    out = held.join(share, key.eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h")))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__each")))).select(*docs.columns)

@@ -145,5 +145,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
     once = docs.join(gone.unionByName(again), id_col, "left_anti").select(*docs.columns)
     repeated = docs.join(again.join(gone, id_col, "left_anti"), id_col, "left_semi")
-    least = repeated.groupBy(F.col(id_col).alias("key")).agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return once.unionByName(least.select("row.*"))
+    least = repeated.groupBy(F.col(id_col).alias("__key")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return once.unionByName(least.select("__row.*"))

@@ -340,7 +340,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows with a null id stay as they are.
     """
     found = find_repeats(docs, id_col, text_col, similarity, min_words)
-    changed = staged(found.where("n_removed > 0").select(F.col("doc_id").alias("key_"), "n_words", "n_removed", "removed").dropDuplicates(["key_"]), "changed")
+    lost = found.where("n_removed > 0").groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.first("n_removed").alias("n_removed"), F.first("removed").alias("removed"))
+    changed = staged(lost, "changed").select(F.col("doc_id").alias("__key"), (F.col("n_removed") >= similarity * F.col("n_words")).alias("__copy"), F.col("removed").alias("__removed"))
     names = docs.columns
     text_at = names.index(text_col)
 
@@ -351,8 +352,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = docs.join(changed, F.col(id_col).cast("bigint") == F.col("key_"), "left").where(F.col("n_removed").isNull() | (F.col("n_removed") < similarity * F.col("n_words")))
-    out = joined.select(*names, "removed").mapInArrow(run, docs.schema)
+    joined = docs.join(changed, F.col(id_col).cast("bigint") == F.col("__key"), "left").where(F.col("__copy").isNull() | ~F.col("__copy"))
+    out = joined.select(*names, "__removed").mapInArrow(run, docs.schema)
     if length_col in names:
         out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
     return out.select(*names)

@@ -1,0 +1,463 @@
+"""Each corpus operator against a plain version of itself on small tables."""
+
+import base64
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from ledgerlake.llm import ann, common, langid, licenses, matroska, mixing, packing, simhash, substring_dedup, tokencount, warc
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORDS = {"en": "the of and to in is that with for this", "fr": "le la les des une est dans pour avec que", "de": "der die das und ist nicht ein eine mit von"}
+
+
+def docs(spark, texts, extra=()):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+
+
+def prose(rng, n, lang="en"):
+    stems = WORDS[lang].split()
+    return " ".join(rng.choice(stems) + rng.choice(["", "", rng.choice(stems), chr(97 + rng.randrange(26)) * 2]) for _ in range(n))
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 6000 + i) for i in range(200)] + [(7, 7)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {n: find(n) for n in parent}
+
+
+# --- 1 -------------------------------------------------------------------------------------
+
+
+def test_language_id(spark):
+    rng = random.Random(1)
+    rows = [(i, prose(rng, rng.randrange(5, 60), lang), lang) for i, lang in enumerate(["en", "fr", "de"] * 60)]
+    rows += [(900, None, "en"), (901, "", None), (902, "123 !!", None), (903, "é", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    held = F.col("doc_id") % 5 == 0
+    got = {r["doc_id"]: r for r in langid.identify(df.withColumn("score", F.lit("clash")), df.where(~held)).collect()}
+    assert len(got) == len(rows)
+    right = [got[i]["lang_pred"] == lang for i, _, lang in rows[:180] if i % 5 == 0]
+    assert sum(right) / len(right) > 0.95
+    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and got[903]["lang_pred"] in WORDS
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    nothing = langid.identify(df, df.where("false"))
+    assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
+    assert langid.identify(df.where("false"), df).count() == 0
+
+
+def test_presence_counts_each_gram_once():
+    flags = [f.copy() for f in langid.presence([b"ab", b"ab ab  AB", b""])]
+    assert flags[0].sum() == 3 and flags[2].sum() == 0
+    assert not (flags[0] & ~flags[1]).any()
+
+
+# --- 2 -------------------------------------------------------------------------------------
+
+
+def test_bands_reach_recall():
+    bands, rows = substring_dedup.tune_bands()
+    assert bands <= substring_dedup.MAX_BANDS and 1 - (1 - 0.8**rows) ** bands >= 0.999
+
+
+def test_inside_links_equal_all_pairs():
+    rng = random.Random(2)
+    base = [rng.sample(range(400), 45) for _ in range(4)]
+    sets = []
+    for i in range(230):
+        b = list(base[i % 4])
+        for _ in range(rng.randrange(7)):
+            b[rng.randrange(len(b))] = rng.randrange(2000)
+        sets.append(np.unique(np.array(b, np.int64)))
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        c = len(np.intersect1d(sets[i], sets[j]))
+        if c >= 0.8 * (len(sets[i]) + len(sets[j]) - c):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    assert substring_dedup.linked_inside(sets, 0.8).tolist() == [find(i) for i in range(len(sets))]
+
+
+def test_repeated_passages_are_found_anywhere(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = prose(rng, 60)
+    line = prose(rng, 70)
+    edited = line.split()
+    edited[35] = "changed"
+    texts = [prose(rng, 80) for _ in range(12)]
+    texts[3] = prose(rng, 31) + " " + passage + " " + prose(rng, 17)
+    texts[8] = prose(rng, 12) + " " + passage + "\n" + prose(rng, 40)
+    texts[5] = prose(rng, 30) + "\n" + line + "\n" + prose(rng, 30)
+    texts[9] = prose(rng, 40) + "\n" + " ".join(edited)
+    texts[11] = texts[0]
+    got = {r["doc_id"]: r for r in substring_dedup.find_repeats(docs(spark, texts)).collect()}
+    touched = {i for i, r in got.items() if r["n_removed"]}
+    assert touched == {8, 9, 11}
+    assert got[8]["n_removed"] >= 36 and got[8]["kept_in"] == [3]
+    assert got[9]["removed"][-1] == [40, 110] and got[9]["kept_in"] == [5]
+    assert got[11]["n_removed"] == got[11]["n_words"] == 80
+    kept = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs(spark, texts).withColumn("n_chars", F.length("text")).withColumn("removed", F.lit(1))).collect()}
+    assert 11 not in kept and kept[5]["text"] == texts[5] and passage not in kept[8]["text"]
+    assert kept[9]["text"].split() == texts[9].split()[:40] and kept[9]["n_chars"] == len(kept[9]["text"])
+    monkeypatch.setattr(substring_dedup, "GROUP_MEMBERS", 1)
+    again = {r["doc_id"]: r for r in substring_dedup.find_repeats(docs(spark, texts)).collect()}
+    assert again == got
+
+
+def test_cut_keeps_other_bytes():
+    assert substring_dedup.cut("a  bé c\nd ", [[1, 3]]) == "a  d "
+    assert substring_dedup.cut("a b", [[0, 2]]) == "" and substring_dedup.cut(" a b", []) == " a b"
+
+
+# --- 3 -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_boundaries_are_optimal(seed):
+    rng = random.Random(seed)
+    cells = sorted((n, rng.randrange(1, 9)) for n in rng.sample(range(1, 60), 9))
+    cells = [(n, c, n * c) for n, c in cells]
+
+    def padding(ends):
+        return sum(min(e for e in ends if e >= n) * c - t for n, c, t in cells)
+
+    for k in (1, 2, 3, 4, 9, 20):
+        best = min(padding([*inner, cells[-1][0]]) for size in range(min(k, len(cells))) for inner in itertools.combinations([n for n, _, _ in cells[:-1]], size))
+        ends = packing.best_boundaries(cells, k)
+        assert len(ends) <= k and padding(ends) == best
+
+
+def test_packing(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, rng.choice([1, 3, 10, 40, 200])) for _ in range(200)] + [None, "", " \n", "w " * 3000, "same", "same"]
+    got = packing.pack(docs(spark, texts), buckets=5, token_budget=400).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    batches = collections.defaultdict(list)
+    for r in got:
+        assert r["n_tokens"] == len((texts[r["doc_id"]] or "").split()) and r["padding"] == r["bucket_tokens"] - r["n_tokens"] >= 0
+        batches[r["batch_id"]].append(r)
+    for rows in batches.values():
+        assert len({r["bucket"] for r in rows}) == 1 and sorted(r["slot"] for r in rows) == list(range(len(rows)))
+        assert len(rows) == 1 or len(rows) * max(1, rows[0]["bucket_tokens"]) <= 400
+    assert packing.pack(docs(spark, texts).where("false")).count() == 0
+
+
+# --- 4 -------------------------------------------------------------------------------------
+
+
+def test_nearest_neighbours(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 12)).astype(np.float32)
+    x[100:140] = x[0]  # ties
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)]
+    rows += [(9000, None), (9001, []), (9002, [0.0] * 12), (9003, [float("nan")] * 12), (9004, [1.0] * 11 + [None]), (9005, [1.0] * 5), (None, [1.0] * 12), (9007, [float("inf")] * 12), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in ann.search(df.withColumn("score", F.lit(1)), F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r)
+    assert set(got) == set(range(0, 600, 20))
+    d = x.astype(np.float64)
+    hits = 0
+    for q, rows_ in got.items():
+        s = d @ d[q]
+        want = [i for i in np.lexsort((np.arange(600), -s)) if i != q][:20]
+        hits += len({r["vec_id"] for r in rows_} & set(want))
+        assert [r["rank"] for r in rows_] == list(range(1, 21))
+        assert [(-r["score"], r["vec_id"]) for r in rows_] == sorted((-r["score"], r["vec_id"]) for r in rows_)
+        assert all(math.isclose(r["score"], s[r["vec_id"]], rel_tol=1e-12, abs_tol=1e-12) for r in rows_)
+    assert hits / (20 * len(got)) >= 0.9
+    few = ann.search(df.where("vec_id < 4"), F.col("vec_id") == 0, k=20).collect()
+    assert len(few) == 3
+    assert ann.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+# --- 5 -------------------------------------------------------------------------------------
+
+
+def test_license_base_columns(spark):
+    rng = random.Random(8)
+    bits = ["MIT", "License", "license", "Apache", "cc", "by", "GNU", "General", "public", "é", "the", "x9", "mit_license", "CC-BY"]
+    texts = [rng.choice(["", " ", "-"]).join(rng.choice(bits) + rng.choice([" ", "\n", ", ", "."]) for _ in range(rng.randrange(0, 60))) for _ in range(150)]
+    texts += [None, "", "...", "mit license mit license", "GNU GENERAL PUBLIC LICENSE", "Kmit license", "smit license", "mit license" + " q" * 50_000]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts).withColumn("labels", F.lit("clash"))).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+        found = [(k, label) for p, label in licenses.BASE_PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        at = [k for k, _ in found]
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found})))
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
+def test_license_templates(spark):
+    texts = [f"some words before, {t.words.upper()}; and after" for t in licenses.TEMPLATES]
+    texts += ["redistribution in source of binary forms and use", "software license warranty " * 20_000]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts)).collect()}
+    for i, t in enumerate(licenses.TEMPLATES):
+        assert t.label in got[i]["labels"].split(","), t
+        assert any(s["label"] == t.label and s["start"] == 3 for s in got[i]["starts"])
+    assert got[len(texts) - 2]["labels"] == "" and got[len(texts) - 1]["labels"] == ""
+    assert licenses.scan(docs(spark, texts).where("false")).count() == 0
+
+
+# --- 6 -------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    bodies = ["<p>one</p>", "é" * 3000, None, "", "<p>one</p>", "<p>one</p>", "x\r\n\r\ny", "same", "same"]
+    rows = [(10 - i, f"http://h/{i} \né", b, 1) for i, b in enumerate(bodies)] + [(None, None, "<p>one</p>", 2), (None, None, "alone", 2), (2, "u", "same", 3)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest int").repartition(2)
+    folder = f"file://{tmp_path}/w"
+    index = warc.write_archives(pages, folder)
+    got = warc.read_records(index, folder, with_payload=True).collect()
+    assert len(got) == len(rows)
+    least = {}
+    for i, _, b, _ in rows:
+        if i is not None:
+            least[b or ""] = min(least.get(b or "", i), i)
+    want = collections.Counter()
+    for i, _, b, _ in rows:
+        raw = (b or "").encode()
+        first = least.get(b or "")
+        many = sum((x[2] or "") == (b or "") for x in rows) > 1
+        to = first if many and first is not None and i != first else None
+        want[(i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if to is None else "revisit", to)] += 1
+    assert collections.Counter(tuple(r)[:5] for r in got) == want
+    assert all(bytes(r["payload"]) == b"" for r in got if r["record_type"] == "revisit")
+    one = warc.read_records(index.where("page_id = 9"), folder, with_payload=True).collect()
+    assert len(one) == 1 and bytes(one[0]["payload"]).decode() == "é" * 3000
+    small = warc.write_archives(pages, f"{folder}2", min_bytes=5)
+    assert {r["record_type"] for r in small.where("length(url) > 0").join(pages.where("length(html) < 5").select("page_id"), "page_id").collect()} == {"response"}
+    empty = warc.write_archives(pages.where("false"), f"{folder}3")
+    assert warc.read_records(empty, f"{folder}3").count() == 0
+
+
+def test_ranges_coalesce():
+    rows = [(0, 10), (10, 5), (100_000, 7), (200_000, 9), (200_009, 1)]
+    assert list(warc.ranges(rows)) == [(0, 15, rows[:2]), (100_000, 100_007, rows[2:3]), (200_000, 200_010, rows[3:])]
+
+
+# --- 7 -------------------------------------------------------------------------------------
+
+
+def greedy(pieces, word):
+    s, n = b" " + word, 0
+    while s:
+        k = next((k for k in range(len(s), 0, -1) if s[:k] in pieces), 0)
+        if not k:
+            return 1
+        s, n = s[k:], n + 1
+    return n
+
+
+def test_token_automaton_equals_greedy():
+    rng = random.Random(9)
+    for _ in range(60):
+        pieces = {bytes(rng.choice(b"ab c") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 25))}
+        auto = tokencount.WordPieceCounter(sorted(pieces))
+        for _ in range(80):
+            word = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 14)))
+            assert auto.pieces(word) == greedy(pieces, word), (pieces, word)
+
+
+def test_token_counts(spark):
+    pieces = [bytes([b]) for b in range(256)] + [b" the", b"the", b" th", b"er", b"ere", b"\xc3\xa9"]
+    texts = ["the there\tthe", None, "", " \n", "é" * 5000, "the " * 50_000]
+    got = {r["doc_id"]: (r["n_tokens"], r["n_words"], r["n_bytes"]) for r in tokencount.token_counts(docs(spark, texts), pieces).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        assert got[i] == (sum(greedy(set(pieces), w) for w in raw.split()), len(raw.split()), len(raw))
+    with pytest.raises(ValueError):
+        tokencount.token_counts(docs(spark, texts), [])
+
+
+# --- 8 -------------------------------------------------------------------------------------
+
+
+def test_mixing_plan():
+    tokens = {"a": 1000, "b": 100, "c": 100, None: 50, "z": 0}
+    free = mixing.plan(tokens, target_entropy=0.9, max_repeats=1e9)
+    assert math.isclose(mixing.entropy(free.weights), 0.9 * math.log(4), rel_tol=1e-6)
+    tight = mixing.plan(tokens, target_entropy=1.0, max_repeats=2.0)
+    assert math.isclose(max(q / tokens[s] for s, q in tight.quotas.items() if tokens[s]), 2.0, rel_tol=0.02)
+    assert all(q >= tokens[s] for s, q in tight.quotas.items())
+    assert mixing.plan(tokens, target_entropy=0.0).alpha == 1.0
+    assert mixing.plan({}).quotas == {} and mixing.plan({"a": 0}).quotas == {"a": 0}
+
+
+def test_mixing_draws(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 16)
+    rng = random.Random(10)
+    rows = [(i, prose(rng, rng.randrange(1, 30)), "hot" if i % 3 else f"s{i % 7}") for i in range(600)] + [(700, None, "s1"), (701, "", None), (702, "x y", None), (None, "p q", "s1"), (703, "d d", "s2"), (703, "d d", "s2")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    draws = mixing.mix(df.withColumn("h", F.lit(0)))
+    got = draws.collect()
+    assert collections.Counter((r["doc_id"], r["source"]) for r in got if r["pass"] == 0) == collections.Counter((i, s) for i, _, s in rows)
+    tokens, spent = collections.Counter(), collections.Counter()
+    for _, t, s in rows:
+        tokens[s] += len((t or "").split())
+    for r in got:
+        spent[r["source"]] += r["n_tokens"]
+    plan = mixing.plan(tokens)
+    for s, q in plan.quotas.items():
+        assert q - 30 < spent[s] <= q, s
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+    held = mixing.realise(df.withColumn("__note", F.lit(1)), draws).collect()
+    assert {(r["doc_id"], r["text"]) for r in held} == {(i, t) for i, t, _ in rows}
+    assert abs(len(held) - len(got)) <= 1
+    assert mixing.mix(df.where("false")).count() == 0
+    half = mixing.mix(df, budget=sum(tokens.values()) // 2).collect()
+    assert sum(r["n_tokens"] for r in half) <= sum(tokens.values()) // 2 + 1
+
+
+# --- 9 -------------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text, n=3):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    runs = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in runs]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def test_simhash(spark):
+    rng = random.Random(11)
+    texts = [prose(rng, rng.randrange(0, 60)) for _ in range(120)] + [None, "", " \n", "One", "one", "a b", "X Y Z\x0bq é"] + ["same text here now"] * 4
+    texts += [texts[0] + " z", texts[1].upper()]
+    got = simhash.near_duplicates(docs(spark, texts).withColumn("fp", F.lit("clash"))).collect()
+    fps = [plain_fingerprint(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 2:
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    assert sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == [(i, f"{fps[i]:016x}", find(i)) for i in range(len(texts))]
+    kept = simhash.keep_first(docs(spark, texts)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({find(i) for i in range(len(texts))})
+
+
+@pytest.mark.parametrize("limit", [64, 3])
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_links_equal_all_pairs(spark, monkeypatch, limit, bits):
+    monkeypatch.setattr(simhash, "PAIRED_CELL", limit)
+    rng = random.Random(bits)
+    values = {rng.getrandbits(64) for _ in range(60)} | {0, 2**64 - 1, 1 << 63}
+    for v in list(values)[:25]:
+        for _ in range(6):
+            for _ in range(rng.randrange(1, 4)):
+                v ^= 1 << rng.randrange(64)
+            values.add(v)
+    values = sorted(values)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    edges = simhash.links(spark.createDataFrame([(signed(v),) for v in values], "fp bigint"), bits)
+    parent = {signed(v): signed(v) for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(values, 2):
+        if (a ^ b).bit_count() <= bits:
+            a, b = find(signed(a)), find(signed(b))
+            parent[max(a, b)] = min(a, b)
+    want = {v: find(v) for v in parent}
+    got = {r["node"]: r["root"] for r in common.connected_components(edges).collect()}
+    assert {v: got.get(v, v) for v in parent} == want
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(5, "alpha beta gamma delta", 1), (5, "alpha beta gamma delta", 2), (None, "alpha beta gamma delta", 3), (3, "other words entirely here", 4), (None, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, extra int")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 5), (5, 5), (None, 5), (3, 3), (None, None)], key=str)
+    assert sorted(r["extra"] for r in simhash.keep_first(df).collect()) == [1, 3, 4, 5]
+
+
+# --- 10 ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size", [0, 1, 191, 192, 193, 768, 769, 6144, 6145, 200_000, 1_500_000])
+def test_matroska_round_trip(size):
+    raw = random.Random(size).randbytes(size)
+    payload, line = matroska.features(matroska.mux(matroska.padded(raw)))
+    assert payload == raw + b" " * (max(192, -(-size // 192) * 192) - size) and "seekable=1" in line
+    media = matroska.parse(matroska.mux(matroska.padded(raw)))
+    assert [p.timestamp for p in media.packets] == sorted(p.timestamp for p in media.packets)
+
+
+@pytest.mark.parametrize("kind", range(4))
+def test_lacing(kind):
+    rng = random.Random(kind)
+    for _ in range(50):
+        sizes = [rng.choice([0, 1, 254, 255, 256, 510, 70_000, 3])] if kind == 0 else [7] * 5 if kind == 2 else [rng.choice([0, 1, 254, 255, 256, 510, 9000]) for _ in range(rng.randrange(1, 9))]
+        frames = [rng.randbytes(n) for n in sizes]
+        data = matroska.lace(frames, kind)
+        assert [data[a : a + n] for a, n in matroska.unlace(data, 0, len(data), kind)] == frames
+
+
+def test_matroska_unknown_sizes_and_errors():
+    block = matroska.element(matroska.BLOCK_GROUP, matroska.element(matroska.BLOCK, b"\x81\x00\x05\x00payload") + matroska.element(0x9B, b"\x01"))
+    cluster = b"\x1f\x43\xb6\x75\xff" + matroska.unsigned(matroska.CLUSTER_TIMESTAMP, 100) + block
+    segment = b"\x18\x53\x80\x67\x01\xff\xff\xff\xff\xff\xff\xff" + matroska.element(0xEC, b"skip me") + cluster
+    data = matroska.element(matroska.EBML, b"") + segment
+    (packet,) = matroska.parse(data).packets
+    assert (packet.timestamp, data[packet.offset : packet.offset + packet.size]) == (105, b"payload")
+    for broken in (b"", b"\x00" * 20, data[:-3] + b"", matroska.mux(b" " * 192)[:-5]):
+        try:
+            matroska.parse(broken)
+        except (ValueError, IndexError):
+            continue
+        assert broken == data[:-3]
+
+
+def test_media_columns(spark):
+    texts = ["short", None, "", "é" * 4000, "same", "same"]
+    df = docs(spark, texts)
+    got = {r["doc_id"]: r for r in matroska.media_digests(df.withColumn("feature", F.lit(0))).collect()}
+    for i, t in enumerate(texts):
+        payload = matroska.padded((t or "").encode())
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    assert tuple(got[4])[1:] == tuple(got[5])[1:] and tuple(got[1])[1:] == tuple(got[2])[1:]
+    files = matroska.media_column(df)
+    packets = matroska.packet_table(files.unionByName(spark.createDataFrame([(99, bytearray(b"junk")), (98, None)], "doc_id bigint, media binary")))
+    joined = packets.join(files, "doc_id").withColumn("part", F.expr("substring(media, byte_offset + 1, byte_size)")).collect()
+    for i, t in enumerate(texts):
+        assert b"".join(bytes(r["part"]) for r in sorted((r for r in joined if r["doc_id"] == i), key=lambda r: r["packet"])) == matroska.padded((t or "").encode())
+    assert [r["error"] is not None for r in packets.where("doc_id >= 98").collect()] == [True]

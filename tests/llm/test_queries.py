@@ -1,0 +1,67 @@
+"""The registered queries and the pipeline on the smallest tables and on empty ones."""
+
+import collections
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+import corpus_pipeline
+from ledgerlake.llm import queries, simhash, substring_dedup
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+KEYS = {"op4_nearest_neighbours": "embeddings", "op6_warc": "pages"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_covers_its_table(spark, name):
+    got = __spark_entry__.queries()[name](spark, DATA)
+    rows = got.count()
+    whole = spark.read.parquet(f"{DATA}/{KEYS.get(name, 'documents')}.parquet").count()
+    if name == "op4_nearest_neighbours":
+        assert rows == 20 * -(-whole // 20)
+    elif name == "op8_source_mixing":
+        assert got.select("doc_id").distinct().count() == whole
+    else:
+        assert rows == whole
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_on_empty_tables(spark, tmp_path, name):
+    for t in ("documents", "embeddings", "pages"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == corpus_pipeline.COLUMNS and out.schema.simpleString() == docs.select(*corpus_pipeline.COLUMNS).schema.simpleString(), name
+        from ledgerlake.llm.common import staged
+
+        before, docs = docs, staged(out, "stage")
+        if name == "simhash_near_dedup":
+            comps = simhash.near_duplicates(before).groupBy("component_id").count().count()
+            assert docs.count() == comps
+        if name == "substring_dedup":
+            assert substring_dedup.find_repeats(docs).where("n_removed > 0").count() <= 2
+        if name == "source_mixing":
+            assert docs.select("doc_id").distinct().count() == before.count()
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert got.count() == docs.count()
+    assert corpus_pipeline.run(spark, DATA).count() == got.count()
+
+
+def test_stages_take_odd_rows(spark):
+    rows = [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "word " * 100_000, "en", None, 5), (3, "!!!", None, "s", 3), (1, None, None, None, None), (4, "the of and to in is", "en", "s", 19)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("extra", F.lit(1)).withColumn("__key", F.lit(2))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+        docs.collect()
+    for _, stage in corpus_pipeline.STAGES:
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        assert isinstance(collections.Counter(map(str, stage(spark, frame, DATA).collect())), collections.Counter)
+        assert stage(spark, frame.where("false"), DATA).count() == 0
