@@ -21,9 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import connected_components, small_batches, staged
+from ledgerlake.llm.substring_dedup import (
+    _SHINGLE_MUL, GROUP_MEMBERS, GROUP_WORDS, SHINGLE, SIMILARITY, links_across, links_inside, maybe_broadcast, mixed, runs, word_hashes,
+)
 
 #: Members of a cell up to which its pairs are examined; fuller cells take the other exact way.
 PAIRED_CELL = 64
+#: Word fingerprints of near-copy search, the most that a word weighs in them, and the bits in
+#: which shingle fingerprints of copies may differ (unrelated texts differ in about 32).
+WORD_SEEDS, WORD_SHARE, NEAR_BITS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), 0.06, 16
 #: Shingles whose bits are counted at a time.
 SHINGLE_BLOCK = 65_536
 
@@ -134,16 +140,125 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """One document of each component, the one with the smallest id, with the columns it came with.
+def word_fingerprint(hashes: np.ndarray, counts: np.ndarray, seed: int) -> int:
+    """SimHash of the words of a text by how often they occur; no word weighs more than a few hundredths of it."""
+    weight = np.minimum(counts, max(3.0, WORD_SHARE * counts.sum())).astype(np.float32)
+    mixed_ = mixed((hashes ^ np.uint64(seed)) * np.uint64(0xD6E8FEB86659FD93))
+    bits = np.unpackbits(mixed_.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+    return int(np.packbits((weight @ bits) * 2 > weight.sum(), bitorder="little").view(np.uint64)[0])
 
-    Rows that repeat an id are one document: the smallest of them stays. Rows without an id
-    cannot be told apart from the document that they repeat and stay as they are.
+
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, f0`` (the shingle fingerprint) and ``ps`` (word fingerprints under WORD_SEEDS) for every row with an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f0, ps = [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                f0.append(fingerprint(text))
+                words = (text or b"").lower().split()
+                hashes, counts = np.unique(word_hashes(words), return_counts=True)
+                ps.append([word_fingerprint(hashes, counts, seed) if words else 0 for seed in WORD_SEEDS])
+            signed = lambda x: np.array(x, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(f0)), pa.array(list(signed(ps).reshape(-1, len(WORD_SEEDS))), pa.list_(pa.int64()))], ["doc_id", "f0", "ps"])
+
+    small_batches(docs.sparkSession)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, f0 bigint, ps array<bigint>")
+
+
+def copy_candidates(nodes: DataFrame) -> DataFrame:
+    """Edges ``a, b`` between nodes (``sig, f0, ps``) that are likely copies.
+
+    Two nodes meet if some word fingerprints differ in two bits or fewer (the grid range-join
+    above, one table a seed) and the shingle fingerprints in NEAR_BITS or fewer. In cells of
+    more than PAIRED_CELL nodes each node is held against the first one only; these nodes are
+    alike in most of their cells, and components are verified as a whole afterwards.
+    """
+    around = [0] + [sign << (4 * i) if sign > 0 else -(1 << (4 * i)) for i in range(16) for sign in (1, -1)]
+    each = nodes.select("sig", F.posexplode("ps").alias("k", "p")).withColumn("v", _counts(F.col("p")))
+    cells = each.select("sig", F.col("k").cast("tinyint").alias("k"), F.explode(F.array(*[F.col("v") + F.lit(d) for d in around])).alias("cell"))
+    sizes = cells.groupBy("k", "cell").agg(F.count(F.lit(1)).alias("members"), F.min("sig").alias("center")).where("members > 1")
+    shared = cells.join(sizes, ["k", "cell"]).join(nodes, "sig").withColumn("p", F.col("ps")[F.col("k").cast("int")]).drop("ps")
+    shared = staged(shared.withColumn("v", _counts(F.col("p"))), "copy-cells")
+    pairs = (
+        shared.where(F.col("members") <= PAIRED_CELL)
+        .groupBy("k", "cell")
+        .agg(F.collect_list(F.struct("sig", "p", "v", "f0")).alias("xs"))
+        .select(
+            F.explode(
+                F.expr(
+                    f"""flatten(transform(xs, x -> transform(
+                        filter(xs, y -> y.sig > x.sig and bit_count(x.p ^ y.p) <= 2 and bit_count(x.f0 ^ y.f0) <= {NEAR_BITS}
+                               and ((x.v = y.v and cell = x.v) or (x.v <> y.v and cell <= (x.v - cell) + y.v))),
+                        y -> struct(x.sig as a, y.sig as b))))"""
+                )
+            ).alias("e")
+        )
+        .select("e.a", "e.b")
+    )
+    first = nodes.select(F.col("sig").alias("center"), F.col("f0").alias("c0"))
+    dense = shared.where((F.col("members") > PAIRED_CELL) & (F.col("sig") != F.col("center"))).select("center", "sig", "f0").distinct()
+    stars = dense.join(first, "center").where(F.bit_count(F.col("f0").bitwiseXOR(F.col("c0"))) <= NEAR_BITS).select(F.col("center").alias("a"), F.col("sig").alias("b"))
+    return pairs.unionByName(stars).distinct()
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``h, shingles`` of the documents ``wanted`` (``doc_id, h``): sorted distinct hashes of five-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                hashes = word_hashes((text or b"").lower().split())
+                sets.append(np.unique(runs(hashes, min(SHINGLE, max(1, len(hashes))), _SHINGLE_MUL)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["h", "shingles"])
+
+    small_batches(docs.sparkSession)
+    asked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(maybe_broadcast(wanted), "doc_id").select("h", "text")
+    return asked.mapInArrow(run, "h bigint, shingles array<bigint>").groupBy("h").agg(F.first("shingles").alias("shingles"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, component_id`` of every row with an id: classes of texts with a Jaccard similarity of five-word shingles.
+
+    Candidates come from ``copy_candidates``; inside each of their components links are exact.
+    Texts whose fingerprints are all equal count as copies; null and empty texts are such.
+    """
+    base = staged(sketches(docs, id_col, text_col).withColumn("sig", F.xxhash64("f0", "ps")), "sketches")
+    nodes = staged(base.groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("f0").alias("f0"), F.first("ps").alias("ps"), F.count(F.lit(1)).alias("n")), "nodes")
+    groups = staged(connected_components(copy_candidates(nodes.select("sig", "f0", "ps"))).select(F.col("root").alias("key"), F.col("node").alias("h")), "groups")
+    wanted = staged(groups.join(nodes.select(F.col("sig").alias("h"), F.col("least").alias("doc_id")), "h").select("doc_id", "h"), "wanted")
+    sets = staged(whole_sets(docs, wanted, id_col, text_col), "sets")
+    sizes = groups.join(sets.select("h", F.size("shingles").alias("size")), "h").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("h").alias("c"))
+    members = staged(groups.join(sizes, "key"), "members")
+    fits = (F.col("n") <= GROUP_MEMBERS) & (F.col("total") <= GROUP_WORDS)
+    links = links_inside(members.where(fits).select("key", "h"), sets, similarity)
+    rest = members.where(~fits).select("key", "h", "c")
+    if not rest.isEmpty():
+        links = links.unionByName(links_across(rest, sets, similarity))
+    comps = connected_components(links).withColumnRenamed("node", "sig")
+    rooted = nodes.select("sig", "least").join(comps, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, "root").select("sig", "component_id")
+    return base.select("doc_id", "sig").join(named, "sig").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = SIMILARITY) -> DataFrame:
+    """One document of each class, the one with the smallest id, with the columns it came with.
+
+    Classes are those of ``near_copies`` at ``similarity``, or without one those of
+    ``near_duplicates``. Rows that repeat an id are one document: the smallest of them stays.
+    Rows without an id cannot be told apart from the document that they repeat and stay.
     """
-    found = staged(near_duplicates(docs, id_col, text_col, shingle, max_bits), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    again = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
-    once = docs.join(gone.unionByName(again), id_col, "left_anti").select(*docs.columns)
-    repeated = docs.join(again.join(gone, id_col, "left_anti"), id_col, "left_semi")
+    found = near_duplicates(docs, id_col, text_col).drop("fingerprint") if similarity is None else near_copies(docs, id_col, text_col, similarity)
+    found = staged(found.where("doc_id is not null"), "components")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    again = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id")
+    out = maybe_broadcast(staged(gone.unionByName(again).distinct(), "gone"))
+    twice = maybe_broadcast(staged(again.join(gone, "__id", "left_anti"), "again"))
+    key = F.col(id_col).cast("bigint") == F.col("__id")
+    once = docs.join(out, key, "left_anti").select(*docs.columns)
+    repeated = docs.join(twice, key, "left_semi")
     least = repeated.groupBy(F.col(id_col).alias("__key")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
     return once.unionByName(least.select("__row.*"))

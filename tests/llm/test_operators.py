@@ -367,7 +367,7 @@ def test_simhash(spark):
             a, b = find(i), find(j)
             parent[max(a, b)] = min(a, b)
     assert sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == [(i, f"{fps[i]:016x}", find(i)) for i in range(len(texts))]
-    kept = simhash.keep_first(docs(spark, texts)).collect()
+    kept = simhash.keep_first(docs(spark, texts), similarity=None).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted({find(i) for i in range(len(texts))})
 
 
@@ -409,6 +409,42 @@ def test_null_ids_and_repeated_rows(spark):
     assert sorted(r["extra"] for r in simhash.keep_first(df).collect()) == [1, 3, 4, 5]
 
 
+@pytest.mark.parametrize("limit", [64, 4])
+def test_near_copies(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "PAIRED_CELL", limit)
+    rng = random.Random(13)
+    texts = [prose(rng, 150) for _ in range(40)]
+    for i in range(12):
+        for edits in (1, 2, 2):
+            w = texts[i].split()
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(1000)}"
+            texts.append(" ".join(w))
+    texts += [texts[0], "in " * 300, "in " * 300 + "out " * 90, None, "", "one two"]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = sets[i], sets[j]
+        if a == b or a and b and len(a & b) >= 0.8 * len(a | b):
+            x, y = find(i), find(j)
+            parent[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, texts)).collect()}
+    assert all(find(got[i]) == find(i) for i in got)  # no link that does not hold
+    assert sum(got[i] == find(i) for i in got) >= 0.95 * len(texts)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs(spark, texts)).collect()) == sorted(set(got.values()))
+
+
 # --- 10 ------------------------------------------------------------------------------------
 
 

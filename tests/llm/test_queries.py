@@ -44,7 +44,7 @@ def test_pipeline(spark):
 
         before, docs = docs, staged(out, "stage")
         if name == "simhash_near_dedup":
-            comps = simhash.near_duplicates(before).groupBy("component_id").count().count()
+            comps = simhash.near_copies(before).groupBy("component_id").count().count()
             assert docs.count() == comps
         if name == "substring_dedup":
             assert substring_dedup.find_repeats(docs).where("n_removed > 0").count() <= 2
