@@ -176,31 +176,28 @@ def copy_candidates(nodes: DataFrame) -> DataFrame:
     alike in most of their cells, and components are verified as a whole afterwards.
     """
     around = [0] + [sign << (4 * i) if sign > 0 else -(1 << (4 * i)) for i in range(16) for sign in (1, -1)]
-    each = nodes.select("sig", F.posexplode("ps").alias("k", "p")).withColumn("v", _counts(F.col("p")))
-    cells = each.select("sig", F.col("k").cast("tinyint").alias("k"), F.explode(F.array(*[F.col("v") + F.lit(d) for d in around])).alias("cell"))
+    each = nodes.select("sig", "f0", F.posexplode("ps").alias("k", "p")).withColumn("v", _counts(F.col("p")))
+    cells = each.select("sig", "f0", "p", F.col("k").cast("tinyint").alias("k"), F.explode(F.array(*[F.col("v") + F.lit(d) for d in around])).alias("cell"))
     sizes = cells.groupBy("k", "cell").agg(F.count(F.lit(1)).alias("members"), F.min("sig").alias("center")).where("members > 1")
-    shared = cells.join(sizes, ["k", "cell"]).join(nodes, "sig").withColumn("p", F.col("ps")[F.col("k").cast("int")]).drop("ps")
-    shared = staged(shared.withColumn("v", _counts(F.col("p"))), "copy-cells")
-    pairs = (
-        shared.where(F.col("members") <= PAIRED_CELL)
-        .groupBy("k", "cell")
-        .agg(F.collect_list(F.struct("sig", "p", "v", "f0")).alias("xs"))
-        .select(
-            F.explode(
-                F.expr(
-                    f"""flatten(transform(xs, x -> transform(
-                        filter(xs, y -> y.sig > x.sig and bit_count(x.p ^ y.p) <= 2 and bit_count(x.f0 ^ y.f0) <= {NEAR_BITS}
-                               and ((x.v = y.v and cell = x.v) or (x.v <> y.v and cell <= (x.v - cell) + y.v))),
-                        y -> struct(x.sig as a, y.sig as b))))"""
-                )
-            ).alias("e")
-        )
-        .select("e.a", "e.b")
+    shared = cells.join(sizes, ["k", "cell"]).withColumn("block", F.when(F.col("members") > PAIRED_CELL, F.pmod("sig", F.ceil(F.col("members") / PAIRED_CELL))).otherwise(0))
+    # Blocks of a cell lie where the join has put the cell: no further shuffle.
+    grouped = shared.groupBy("k", "cell", "block").agg(F.first("members").alias("members"), F.first("center").alias("center"), F.collect_list(F.struct("sig", "p", _counts(F.col("p")).alias("v"), "f0")).alias("xs"))
+    found = grouped.select(
+        "k",
+        F.explode(
+            F.expr(
+                f"""if(members > {PAIRED_CELL}, transform(xs, x -> struct(center as a, x.sig as b, x.f0 as f)), flatten(transform(xs, x -> transform(
+                    filter(xs, y -> y.sig > x.sig and bit_count(x.p ^ y.p) <= 2 and bit_count(x.f0 ^ y.f0) <= {NEAR_BITS}
+                           and ((x.v = y.v and cell = x.v) or (x.v <> y.v and cell <= (x.v - cell) + y.v))),
+                    y -> struct(x.sig as a, y.sig as b, cast(null as bigint) as f)))))"""
+            )
+        ).alias("e"),
     )
-    first = nodes.select(F.col("sig").alias("center"), F.col("f0").alias("c0"))
-    dense = shared.where((F.col("members") > PAIRED_CELL) & (F.col("sig") != F.col("center"))).select("center", "sig", "f0").distinct()
-    stars = dense.join(first, "center").where(F.bit_count(F.col("f0").bitwiseXOR(F.col("c0"))) <= NEAR_BITS).select(F.col("center").alias("a"), F.col("sig").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    found = staged(found.select("k", "e.a", "e.b", "e.f"), "copy-links")
+    first = nodes.select(F.col("sig").alias("a"), F.col("f0").alias("c0"))
+    dense = found.where("f is not null and a <> b").distinct().join(first, "a").where(F.bit_count(F.col("f").bitwiseXOR(F.col("c0"))) <= NEAR_BITS)
+    stars = dense.groupBy("k", "b").agg(F.min("a").alias("a")).select("a", "b")
+    return found.where("f is null").select("a", "b").unionByName(stars).distinct()
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:

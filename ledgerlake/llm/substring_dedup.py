@@ -341,7 +341,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     found = find_repeats(docs, id_col, text_col, similarity, min_words)
     lost = found.where("n_removed > 0").groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.first("n_removed").alias("n_removed"), F.first("removed").alias("removed"))
-    changed = staged(lost, "changed").select(F.col("doc_id").alias("__key"), (F.col("n_removed") >= similarity * F.col("n_words")).alias("__copy"), F.col("removed").alias("__removed"))
+    lost = staged(lost, "changed")
+    size = lost.agg(F.count(F.lit(1)), F.sum(F.size("removed"))).first()
+    if size[0] <= BROADCAST_ROWS // 4 and (size[1] or 0) <= BROADCAST_ROWS:
+        lost = F.broadcast(lost)
+    changed = lost.select(F.col("doc_id").alias("__key"), (F.col("n_removed") >= similarity * F.col("n_words")).alias("__copy"), F.col("removed").alias("__removed"))
     names = docs.columns
     text_at = names.index(text_col)
 
