@@ -31,6 +31,7 @@ SUBSPACE, CODES = 4, 64
 class Index(NamedTuple):
     centroids: np.ndarray  # lists x dims
     books: np.ndarray  # subspaces x CODES x SUBSPACE
+    scales: np.ndarray  # root mean square residual of each list: dense lists are coded as finely as wide ones
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -60,26 +61,31 @@ def parts(x: np.ndarray) -> np.ndarray:
 
 def fit(sample: np.ndarray, lists: int) -> Index:
     centroids = k_means(sample, lists)
-    rest = parts(sample - centroids[nearest(sample, centroids)])
+    at = nearest(sample, centroids)
+    rest = sample - centroids[at]
+    square = np.bincount(at, (rest * rest).sum(axis=1), len(centroids)) / np.maximum(1, np.bincount(at, minlength=len(centroids)))
+    scales = np.where(square > 1e-24, np.sqrt(square), 1.0)
+    rest = parts(rest / scales[at, None])
     books = [k_means(p, CODES, rounds=5) for p in rest]
     books = [np.vstack([b, np.repeat(b[:1], CODES - len(b), axis=0)]) for b in books]
-    return Index(centroids, np.stack(books))
+    return Index(centroids, np.stack(books), scales)
 
 
 def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = nearest(x, index.centroids)
-    rest = parts(x - index.centroids[at])
+    rest = parts((x - index.centroids[at]) / index.scales[at, None])
     return at, np.stack([nearest(p, b) for p, b in zip(rest, index.books)], axis=1).astype(np.uint8)
 
 
 def compare(index: Index, number: int, qs: np.ndarray, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, k: int, reranked: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its best ids and exact scores in one block of a list, ``ids`` ascending."""
-    tables = np.einsum("sqd,scd->sqc", parts(qs), index.books)
+    tables = np.einsum("sqd,scd->sqc", parts(qs), index.books) * index.scales[number]
     near = qs @ index.centroids[number]
     for row in range(len(qs)):
         rough = near[row] + tables[np.arange(codes.shape[1]), row][np.arange(codes.shape[1])[:, None], codes.T].sum(axis=0)
-        best = np.argsort(-rough, kind="stable")[:reranked]
-        exact = vectors[best] @ qs[row]
+        values = np.unique(rough)  # codes that tie count once: copies do not crowd out others
+        best = np.flatnonzero(rough >= values[-min(reranked, len(values))])
+        exact = (vectors[best] * qs[row]).sum(axis=1)  # each row summed alike, so equal vectors tie exactly
         order = np.lexsort((ids[best], -exact))[:k]
         yield row, ids[best][order], exact[order]
 
@@ -93,7 +99,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("e") == (dims[0]["d"] if dims else 0))
 
 
-def search(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, probes: float = 0.85, reranked: int = 64, fit_vectors: int = FIT_VECTORS) -> DataFrame:
+def search(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, probes: float = 0.85, reranked: int = 256, fit_vectors: int = FIT_VECTORS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of every query row, nearest first.
 
     ``is_query``: a condition on ``vec_id``. Candidates are all rows but those with the query's
