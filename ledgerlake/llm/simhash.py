@@ -168,36 +168,49 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def copy_candidates(nodes: DataFrame) -> DataFrame:
-    """Edges ``a, b`` between nodes (``sig, f0, ps``) that are likely copies.
+    """Edges ``a, b`` that join every two nodes (``sig, f0, ps``) that are likely copies.
 
-    Two nodes meet if some word fingerprints differ in two bits or fewer (the grid range-join
-    above, one table a seed) and the shingle fingerprints in NEAR_BITS or fewer. In cells of
-    more than PAIRED_CELL nodes each node is held against the first one only; these nodes are
-    alike in most of their cells, and components are verified as a whole afterwards.
+    Two nodes are, if some word fingerprints differ in two bits or fewer (the grid range-join
+    above, one table a seed) and the shingle fingerprints in NEAR_BITS or fewer. Nodes of cells
+    with more than PAIRED_CELL of them are linked through single-bit neighbours of their word
+    fingerprints, whatever their shingle fingerprints: that joins more, and loses no pair.
+    Components are verified as a whole afterwards.
     """
     around = [0] + [sign << (4 * i) if sign > 0 else -(1 << (4 * i)) for i in range(16) for sign in (1, -1)]
-    each = nodes.select("sig", "f0", F.posexplode("ps").alias("k", "p")).withColumn("v", _counts(F.col("p")))
-    cells = each.select("sig", "f0", "p", F.col("k").cast("tinyint").alias("k"), F.explode(F.array(*[F.col("v") + F.lit(d) for d in around])).alias("cell"))
-    sizes = cells.groupBy("k", "cell").agg(F.count(F.lit(1)).alias("members"), F.min("sig").alias("center")).where("members > 1")
-    shared = cells.join(sizes, ["k", "cell"]).withColumn("block", F.when(F.col("members") > PAIRED_CELL, F.pmod("sig", F.ceil(F.col("members") / PAIRED_CELL))).otherwise(0))
-    # Blocks of a cell lie where the join has put the cell: no further shuffle.
-    grouped = shared.groupBy("k", "cell", "block").agg(F.first("members").alias("members"), F.first("center").alias("center"), F.collect_list(F.struct("sig", "p", _counts(F.col("p")).alias("v"), "f0")).alias("xs"))
-    found = grouped.select(
-        "k",
-        F.explode(
-            F.expr(
-                f"""if(members > {PAIRED_CELL}, transform(xs, x -> struct(center as a, x.sig as b, x.f0 as f)), flatten(transform(xs, x -> transform(
-                    filter(xs, y -> y.sig > x.sig and bit_count(x.p ^ y.p) <= 2 and bit_count(x.f0 ^ y.f0) <= {NEAR_BITS}
-                           and ((x.v = y.v and cell = x.v) or (x.v <> y.v and cell <= (x.v - cell) + y.v))),
-                    y -> struct(x.sig as a, y.sig as b, cast(null as bigint) as f)))))"""
-            )
-        ).alias("e"),
+    each = nodes.select("sig", "f0", F.posexplode("ps").alias("k", "p")).withColumn("k", F.col("k").cast("tinyint")).withColumn("v", _counts(F.col("p")))
+    cells = each.select("sig", "f0", "p", "k", F.explode(F.array(*[F.col("v") + F.lit(d) for d in around])).alias("cell"))
+    sizes = cells.groupBy("k", "cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # A cell is gathered where the join has put it, and a full one not at all.
+    shared = cells.join(sizes, ["k", "cell"])
+    pairs = (
+        shared.where(F.col("members") <= PAIRED_CELL)
+        .groupBy("k", "cell")
+        .agg(F.collect_list(F.struct("sig", "p", _counts(F.col("p")).alias("v"), "f0")).alias("xs"))
+        .select(
+            F.explode(
+                F.expr(
+                    f"""flatten(transform(xs, x -> transform(
+                        filter(xs, y -> y.sig > x.sig and bit_count(x.p ^ y.p) <= 2 and bit_count(x.f0 ^ y.f0) <= {NEAR_BITS}
+                               and ((x.v = y.v and cell = x.v) or (x.v <> y.v and cell <= (x.v - cell) + y.v))),
+                        y -> struct(x.sig as a, y.sig as b))))"""
+                )
+            ).alias("e")
+        )
+        .select("e.a", "e.b")
+    )
+    full = sizes.where(F.col("members") > PAIRED_CELL).select("k", "cell")
+    dense = staged(cells.join(full, ["k", "cell"], "left_semi").select("k", "p", "sig").distinct(), "dense")
+    values = staged(dense.groupBy("k", "p").agg(F.min("sig").alias("a")), "values")
+    alike = dense.join(values, ["k", "p"]).select("a", F.col("sig").alias("b")).where("a <> b")
+    flips = [F.col("p").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)]
+    met = (
+        values.select("k", "a", F.explode(F.array(F.col("p"), *flips)).alias("mid"))
+        .groupBy("k", "mid")
+        .agg(F.collect_list("a").alias("xs"))  # at most 65 values lie within one bit of another
+        .where(F.size("xs") > 1)
     )
-    found = staged(found.select("k", "e.a", "e.b", "e.f"), "copy-links")
-    first = nodes.select(F.col("sig").alias("a"), F.col("f0").alias("c0"))
-    dense = found.where("f is not null and a <> b").distinct().join(first, "a").where(F.bit_count(F.col("f").bitwiseXOR(F.col("c0"))) <= NEAR_BITS)
-    stars = dense.groupBy("k", "b").agg(F.min("a").alias("a")).select("a", "b")
-    return found.where("f is null").select("a", "b").unionByName(stars).distinct()
+    stars = met.select(F.array_min("xs").alias("a"), F.explode("xs").alias("b")).where("a <> b")
+    return pairs.unionByName(alike).unionByName(stars).distinct()
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:

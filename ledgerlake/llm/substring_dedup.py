@@ -240,16 +240,32 @@ def links_inside(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of ``members`` (``h, root``) with different roots that may reach the similarity; none that does is left out.
+
+    Elements are ordered by how few sets hold them. Sets of the Jaccard similarity share an
+    element among the first few, as many as may be missing in the other set and one more.
+    """
+    items = members.join(sets, "h").select("h", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("e"))
+    held = items.groupBy("e").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    ordered = items.join(held, "e").groupBy("h", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e", "lo", "hi"))).alias("xs"))
+    first = F.slice("xs", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1).cast("int"))
+    # What only sets of one root hold joins nothing.
+    index = staged(ordered.select("h", "root", "n", F.explode(F.filter(first, lambda x: x["lo"] < x["hi"])).alias("x")).select("h", "root", "n", "x.e"), "prefixes")
+    left, right = index.toDF("a", "root_a", "n_a", "e"), index.toDF("b", "root_b", "n_b", "e")
+    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - 1e-9
+    return left.join(right, "e").where((F.col("root_a") < F.col("root_b")) & near).select("a", "b").distinct()
+
+
 def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The same for groups too large for one task: the first member (``c``) against all, then what is still apart."""
+    """The same for groups too large for one task: the first member (``c``) against all, then what is still apart, by rare elements."""
     stars = members.where("h <> c").select(F.col("c").alias("a"), F.col("h").alias("b")).distinct()
     links = staged(verified(stars, sets, similarity), "links")
     comps = staged(connected_components(links), "comps")
-    classed = members.join(comps.withColumnRenamed("node", "h"), "h", "left").where("h <> c").select("key", "h", F.coalesce("root", "h").alias("root"))
+    classed = members.join(comps.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
     apart = classed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = staged(classed.join(apart, "key", "left_semi"), "apart")
-    crossed = left.withColumnRenamed("h", "a").join(left.toDF("key", "b", "other"), "key").where("root <> other and a < b").select("a", "b").distinct()
-    return links.unionByName(staged(verified(crossed, sets, similarity), "links"))
+    left = staged(classed.join(apart, "key", "left_semi").select("h", "root").distinct(), "apart")
+    return links.unionByName(staged(verified(prefix_pairs(left, sets, similarity), sets, similarity), "links"))
 
 
 def paragraph_classes(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:

@@ -445,6 +445,50 @@ def test_near_copies(spark, monkeypatch, limit):
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs(spark, texts)).collect()) == sorted(set(got.values()))
 
 
+def test_copies_in_full_cells_are_found(spark):
+    rng = random.Random(29)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(80):  # the same words in another order: one word fingerprint, so one cell
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    for text in texts[:80]:
+        w = text.split()
+        texts.append(" ".join(w[:-2] + w[:-3:-1]))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, texts)).collect()}
+    assert got == {i: i % 80 for i in range(160)}
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 1.0])
+def test_prefix_pairs_lose_no_link(spark, similarity):
+    rng = random.Random(31)
+    sets = [set(rng.sample(range(40), rng.randrange(1, 20))) for _ in range(40)]
+    for i in range(30):
+        other = set(sets[i])
+        other ^= set(rng.sample(range(40), rng.randrange(0, 3)))
+        sets.append(other or {1})
+    root = [rng.randrange(3) for _ in sets]
+    rows = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "h bigint, shingles array<bigint>")
+    members = spark.createDataFrame(list(enumerate(root)), "h bigint, root bigint")
+    found = substring_dedup.verified(substring_dedup.prefix_pairs(members, rows, similarity), rows, similarity).collect()
+    near = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if root[i] != root[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
+    assert {tuple(sorted((r["a"], r["b"]))) for r in found} == near and near
+
+
+def test_links_across_join_what_links_inside_join(spark):
+    rng = random.Random(37)
+    sets = [sorted(rng.sample(range(10**6), 40)) for _ in range(12)]
+    for i in range(60):
+        x = set(sets[i % len(sets)])
+        x -= set(rng.sample(sorted(x), 2))
+        sets.append(sorted(x | set(rng.sample(range(10**6), 2))))
+    rows = spark.createDataFrame(list(enumerate(sets)), "h bigint, shingles array<bigint>")
+    members = rows.select(F.lit(1).alias("key"), "h", F.lit(0).cast("bigint").alias("c"))
+    whole = common.connected_components(substring_dedup.links_across(members, rows, 0.8)).collect()
+    inside = common.connected_components(substring_dedup.links_inside(members.select("key", "h"), rows, 0.8)).collect()
+    assert sorted(whole) == sorted(inside) and len(inside) > 60
+
+
 # --- 10 ------------------------------------------------------------------------------------
 
 
