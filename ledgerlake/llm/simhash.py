@@ -180,26 +180,23 @@ def copy_candidates(nodes: DataFrame) -> DataFrame:
     each = nodes.select("sig", "f0", F.posexplode("ps").alias("k", "p")).withColumn("k", F.col("k").cast("tinyint")).withColumn("v", _counts(F.col("p")))
     cells = each.select("sig", "f0", "p", "k", F.explode(F.array(*[F.col("v") + F.lit(d) for d in around])).alias("cell"))
     sizes = cells.groupBy("k", "cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    # A cell is gathered where the join has put it, and a full one not at all.
-    shared = cells.join(sizes, ["k", "cell"])
-    pairs = (
-        shared.where(F.col("members") <= PAIRED_CELL)
-        .groupBy("k", "cell")
-        .agg(F.collect_list(F.struct("sig", "p", _counts(F.col("p")).alias("v"), "f0")).alias("xs"))
-        .select(
-            F.explode(
-                F.expr(
-                    f"""flatten(transform(xs, x -> transform(
-                        filter(xs, y -> y.sig > x.sig and bit_count(x.p ^ y.p) <= 2 and bit_count(x.f0 ^ y.f0) <= {NEAR_BITS}
-                               and ((x.v = y.v and cell = x.v) or (x.v <> y.v and cell <= (x.v - cell) + y.v))),
-                        y -> struct(x.sig as a, y.sig as b))))"""
-                )
-            ).alias("e")
-        )
-        .select("e.a", "e.b")
+    shared = cells.join(sizes, ["k", "cell"]).withColumn("block", F.when(F.col("members") > PAIRED_CELL, F.pmod("sig", F.ceil(F.col("members") / PAIRED_CELL))).otherwise(0))
+    # Blocks of a cell lie where the join has put the cell: no further shuffle. Full cells come out as they are.
+    grouped = shared.groupBy("k", "cell", "block").agg(F.first("members").alias("members"), F.collect_list(F.struct("sig", "p", _counts(F.col("p")).alias("v"), "f0")).alias("xs"))
+    found = grouped.select(
+        "k",
+        F.explode(
+            F.expr(
+                f"""if(members > {PAIRED_CELL}, transform(xs, x -> struct(cast(null as bigint) as a, x.sig as b, x.p as p)), flatten(transform(xs, x -> transform(
+                    filter(xs, y -> y.sig > x.sig and bit_count(x.p ^ y.p) <= 2 and bit_count(x.f0 ^ y.f0) <= {NEAR_BITS}
+                           and ((x.v = y.v and cell = x.v) or (x.v <> y.v and cell <= (x.v - cell) + y.v))),
+                    y -> struct(x.sig as a, y.sig as b, x.p as p)))))"""
+            )
+        ).alias("e"),
     )
-    full = sizes.where(F.col("members") > PAIRED_CELL).select("k", "cell")
-    dense = staged(cells.join(full, ["k", "cell"], "left_semi").select("k", "p", "sig").distinct(), "dense")
+    found = staged(found.select("k", "e.a", "e.b", "e.p"), "copy-links")
+    pairs = found.where("a is not null").select("a", "b")
+    dense = staged(found.where("a is null").select("k", "p", F.col("b").alias("sig")).distinct(), "dense")
     values = staged(dense.groupBy("k", "p").agg(F.min("sig").alias("a")), "values")
     alike = dense.join(values, ["k", "p"]).select("a", F.col("sig").alias("b")).where("a <> b")
     flips = [F.col("p").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)]

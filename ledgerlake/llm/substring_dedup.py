@@ -10,6 +10,7 @@ removed in the same way.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ BROADCAST_ROWS = 500_000
 GROUP_MEMBERS, GROUP_WORDS = 4096, 1_000_000
 #: Sets that hold an element up to which it is counted by its posting.
 WIDE_POSTING = 64
+#: Cells by which elements are counted to order them.
+PREFIX_CELLS = 1 << 20
 DOC, LINE, WINDOW = 0, 1, 2
 
 _rng = np.random.default_rng(20_240_229)
@@ -243,15 +246,29 @@ def links_inside(members: DataFrame, sets: DataFrame, similarity: float) -> Data
 def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``a, b`` of ``members`` (``h, root``) with different roots that may reach the similarity; none that does is left out.
 
-    Elements are ordered by how few sets hold them. Sets of the Jaccard similarity share an
-    element among the first few, as many as may be missing in the other set and one more.
+    Elements are put in one order, those first that few sets hold by the count of their cell,
+    one of PREFIX_CELLS. Sets of the Jaccard similarity share an element among the first few, as
+    many as may be missing in the other set and one more; that holds for any order.
     """
-    items = members.join(sets, "h").select("h", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("e"))
-    held = items.groupBy("e").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    ordered = items.join(held, "e").groupBy("h", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e", "lo", "hi"))).alias("xs"))
-    first = F.slice("xs", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1).cast("int"))
+    held = members.join(sets, "h")
+    counts = held.select(F.explode("shingles").alias("e")).groupBy(F.pmod("e", F.lit(PREFIX_CELLS)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    table = np.zeros(PREFIX_CELLS, np.int64)
+    table[counts.column("cell").to_numpy()] = counts.column("n").to_numpy()
+    sent = members.sparkSession.sparkContext.broadcast(table)  # PREFIX_CELLS counts, whatever the input
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(2).to_numpy(zero_copy_only=False)
+            sizes = np.array([len(x) for x in sets], np.int64)
+            first = [x[np.lexsort((x, sent.value[x % PREFIX_CELLS]))[: len(x) - math.ceil(len(x) * similarity - 1e-9) + 1]] for x in sets]
+            rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in first]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes, pa.int32()).take(rows), pa.array(np.concatenate([np.zeros(0, np.int64), *first]))], ["h", "root", "n", "e"])
+
+    small_batches(members.sparkSession)
+    index = staged(held.select("h", "root", "shingles").mapInArrow(run, "h bigint, root bigint, n int, e bigint"), "prefixes")
     # What only sets of one root hold joins nothing.
-    index = staged(ordered.select("h", "root", "n", F.explode(F.filter(first, lambda x: x["lo"] < x["hi"])).alias("x")).select("h", "root", "n", "x.e"), "prefixes")
+    met = index.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("e")
+    index = staged(index.join(met, "e", "left_semi").select("h", "root", "n", "e"), "prefixes")
     left, right = index.toDF("a", "root_a", "n_a", "e"), index.toDF("b", "root_b", "n_b", "e")
     near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - 1e-9
     return left.join(right, "e").where((F.col("root_a") < F.col("root_b")) & near).select("a", "b").distinct()
@@ -265,6 +282,7 @@ def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     classed = members.join(comps.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
     apart = classed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     left = staged(classed.join(apart, "key", "left_semi").select("h", "root").distinct(), "apart")
+    left = maybe_broadcast(left)
     return links.unionByName(staged(verified(prefix_pairs(left, sets, similarity), sets, similarity), "links"))
 
 
