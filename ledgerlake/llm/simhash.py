@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import connected_components, small_batches, staged
+from ledgerlake.llm.common import connected_components, discard, small_batches, staged
 from ledgerlake.llm.substring_dedup import (
     _SHINGLE_MUL, GROUP_MEMBERS, GROUP_WORDS, SHINGLE, SIMILARITY, links_across, links_inside, maybe_broadcast, mixed, runs, word_hashes,
 )
@@ -207,7 +207,10 @@ def copy_candidates(nodes: DataFrame) -> DataFrame:
         .where(F.size("xs") > 1)
     )
     stars = met.select(F.array_min("xs").alias("a"), F.explode("xs").alias("b")).where("a <> b")
-    return pairs.unionByName(alike).unionByName(stars).distinct()
+    out = staged(pairs.unionByName(alike).unionByName(stars).distinct(), "candidates")
+    for table in (found, dense, values):
+        discard(table)
+    return out
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:

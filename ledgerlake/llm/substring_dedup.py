@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import connected_components, small_batches, staged
+from ledgerlake.llm.common import connected_components, discard, small_batches, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Words of the shortest paragraph, and of a window, that count as a repeat.
@@ -35,7 +35,7 @@ GROUP_MEMBERS, GROUP_WORDS = 4096, 1_000_000
 #: Sets that hold an element up to which it is counted by its posting.
 WIDE_POSTING = 64
 #: Cells by which elements are counted to order them.
-PREFIX_CELLS = 1 << 20
+PREFIX_CELLS = 1 << 16
 DOC, LINE, WINDOW = 0, 1, 2
 
 _rng = np.random.default_rng(20_240_229)
@@ -180,11 +180,21 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` whose shingle sets have the Jaccard similarity or more."""
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    both = pairs.join(left, "a").join(right, "b").where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
+    """The pairs ``a, b`` whose shingle sets have the Jaccard similarity or more, as a staged table.
+
+    The sets of the ``a`` are broadcast if they are small together, short lists of pairs also;
+    else they are shuffled.
+    """
+    pairs = staged(pairs, "pairs")
+    asked = maybe_broadcast(pairs)
+    left = sets.join(maybe_broadcast(pairs.select(F.col("a").alias("h")).distinct()), "h", "left_semi").select(F.col("h").alias("a"), F.col("shingles").alias("x"))
+    elements = left.agg(F.sum(F.size("x"))).first()[0] or 0
+    left = F.broadcast(left) if elements <= BROADCAST_ROWS else left
+    both = sets.toDF("b", "y").join(asked, "b").join(left, "a").where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    out = staged(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    discard(pairs)
+    return out
 
 
 def linked_inside(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -246,7 +256,7 @@ def links_inside(members: DataFrame, sets: DataFrame, similarity: float) -> Data
 def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``a, b`` of ``members`` (``h, root``) with different roots that may reach the similarity; none that does is left out.
 
-    Elements are put in one order, those first that few sets hold by the count of their cell,
+    A staged table. Elements are put in one order, those first that few sets hold by the count of their cell,
     one of PREFIX_CELLS. Sets of the Jaccard similarity share an element among the first few, as
     many as may be missing in the other set and one more; that holds for any order.
     """
@@ -262,28 +272,35 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Data
             sizes = np.array([len(x) for x in sets], np.int64)
             first = [x[np.lexsort((x, sent.value[x % PREFIX_CELLS]))[: len(x) - math.ceil(len(x) * similarity - 1e-9) + 1]] for x in sets]
             rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in first]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes, pa.int32()).take(rows), pa.array(np.concatenate([np.zeros(0, np.int64), *first]))], ["h", "root", "n", "e"])
+            at = np.concatenate([np.zeros(0, np.int32), *[np.arange(len(x), dtype=np.int32) for x in first]])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes, pa.int32()).take(rows), pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *first]))], ["h", "root", "n", "at", "e"])
 
     small_batches(members.sparkSession)
-    index = staged(held.select("h", "root", "shingles").mapInArrow(run, "h bigint, root bigint, n int, e bigint"), "prefixes")
+    first = staged(held.select("h", "root", "shingles").mapInArrow(run, "h bigint, root bigint, n int, at int, e bigint"), "prefixes")
     # What only sets of one root hold joins nothing.
-    met = index.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("e")
-    index = staged(index.join(met, "e", "left_semi").select("h", "root", "n", "e"), "prefixes")
-    left, right = index.toDF("a", "root_a", "n_a", "e"), index.toDF("b", "root_b", "n_b", "e")
-    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - 1e-9
-    return left.join(right, "e").where((F.col("root_a") < F.col("root_b")) & near).select("a", "b").distinct()
+    met = first.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("e")
+    index = staged(first.join(met, "e", "left_semi").select("h", "root", "n", "at", "e"), "prefixes")
+    discard(first)
+    left, right = index.toDF("a", "root_a", "n_a", "at_a", "e"), index.toDF("b", "root_b", "n_b", "at_b", "e")
+    # What two sets can share from here on must be enough, at the first element that both hold.
+    alike = left.join(right, "e").where((F.col("root_a") < F.col("root_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - 1e-9))
+    firsts = alike.groupBy("a", "b").agg(F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6
+    out = staged(firsts.where(enough).select("a", "b"), "candidates")
+    discard(index)
+    return out
 
 
 def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The same for groups too large for one task: the first member (``c``) against all, then what is still apart, by rare elements."""
     stars = members.where("h <> c").select(F.col("c").alias("a"), F.col("h").alias("b")).distinct()
-    links = staged(verified(stars, sets, similarity), "links")
+    links = verified(stars, sets, similarity)
     comps = staged(connected_components(links), "comps")
     classed = members.join(comps.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
     apart = classed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     left = staged(classed.join(apart, "key", "left_semi").select("h", "root").distinct(), "apart")
     left = maybe_broadcast(left)
-    return links.unionByName(staged(verified(prefix_pairs(left, sets, similarity), sets, similarity), "links"))
+    return links.unionByName(verified(prefix_pairs(left, sets, similarity), sets, similarity))
 
 
 def paragraph_classes(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
