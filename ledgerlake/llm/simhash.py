@@ -149,22 +149,23 @@ def word_fingerprint(hashes: np.ndarray, counts: np.ndarray, seed: int) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, f0`` (the shingle fingerprint) and ``ps`` (word fingerprints under WORD_SEEDS) for every row with an id."""
+    """``doc_id, sig`` (a hash of all words in order), ``f0`` (the shingle fingerprint) and ``ps`` (word fingerprints under WORD_SEEDS) for every row with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f0, ps = [], []
+            sig, f0, ps = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 f0.append(fingerprint(text))
                 words = (text or b"").lower().split()
+                sig.append(xxhash.xxh64_intdigest(b" ".join(words)))
                 hashes, counts = np.unique(word_hashes(words), return_counts=True)
                 ps.append([word_fingerprint(hashes, counts, seed) if words else 0 for seed in WORD_SEEDS])
             signed = lambda x: np.array(x, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(f0)), pa.array(list(signed(ps).reshape(-1, len(WORD_SEEDS))), pa.list_(pa.int64()))], ["doc_id", "f0", "ps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(sig)), pa.array(signed(f0)), pa.array(list(signed(ps).reshape(-1, len(WORD_SEEDS))), pa.list_(pa.int64()))], ["doc_id", "sig", "f0", "ps"])
 
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, f0 bigint, ps array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, sig bigint, f0 bigint, ps array<bigint>")
 
 
 def copy_candidates(nodes: DataFrame) -> DataFrame:
@@ -233,9 +234,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, component_id`` of every row with an id: classes of texts with a Jaccard similarity of five-word shingles.
 
     Candidates come from ``copy_candidates``; inside each of their components links are exact.
-    Texts whose fingerprints are all equal count as copies; null and empty texts are such.
+    Only texts of the same words in the same order are one node; null and empty texts are such.
     """
-    base = staged(sketches(docs, id_col, text_col).withColumn("sig", F.xxhash64("f0", "ps")), "sketches")
+    base = staged(sketches(docs, id_col, text_col), "sketches")
     nodes = staged(base.groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("f0").alias("f0"), F.first("ps").alias("ps"), F.count(F.lit(1)).alias("n")), "nodes")
     groups = staged(connected_components(copy_candidates(nodes.select("sig", "f0", "ps"))).select(F.col("root").alias("key"), F.col("node").alias("h")), "groups")
     wanted = staged(groups.join(nodes.select(F.col("sig").alias("h"), F.col("least").alias("doc_id")), "h").select("doc_id", "h"), "wanted")

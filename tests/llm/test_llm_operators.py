@@ -459,6 +459,14 @@ def test_copies_in_full_cells_are_found(spark):
     assert got == {i: i % 80 for i in range(160)}
 
 
+def test_equal_fingerprints_are_no_copies(spark):
+    line = "alpha beta gamma delta epsilon zeta eta theta iota\n" * 200
+    texts = [line + " ".join(f"own{i}x{j}" for j in range(100)) for i in range(3)]
+    assert len({simhash.fingerprint(t) for t in texts}) == 1
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, [*texts, texts[1].upper()])).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 1}
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 1.0])
 def test_prefix_pairs_lose_no_link(spark, similarity):
     rng = random.Random(31)
