@@ -20,16 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import connected_components, discard, small_batches, staged
+from ledgerlake.llm.common import connected_components, small_batches, staged
 from ledgerlake.llm.substring_dedup import (
-    _SHINGLE_MUL, GROUP_MEMBERS, GROUP_WORDS, SHINGLE, SIMILARITY, links_across, links_inside, maybe_broadcast, mixed, runs, word_hashes,
+    _SHINGLE_MUL, SHINGLE, SIMILARITY, band_links, maybe_broadcast, runs, signatures, tune_bands, word_hashes,
 )
 
 #: Members of a cell up to which its pairs are examined; fuller cells take the other exact way.
 PAIRED_CELL = 64
-#: Word fingerprints of near-copy search, the most that a word weighs in them, and the bits in
-#: which shingle fingerprints of copies may differ (unrelated texts differ in about 32).
-WORD_SEEDS, WORD_SHARE, NEAR_BITS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), 0.06, 16
 #: Shingles whose bits are counted at a time.
 SHINGLE_BLOCK = 65_536
 
@@ -140,78 +137,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def word_fingerprint(hashes: np.ndarray, counts: np.ndarray, seed: int) -> int:
-    """SimHash of the words of a text by how often they occur; no word weighs more than a few hundredths of it."""
-    weight = np.minimum(counts, max(3.0, WORD_SHARE * counts.sum())).astype(np.float32)
-    mixed_ = mixed((hashes ^ np.uint64(seed)) * np.uint64(0xD6E8FEB86659FD93))
-    bits = np.unpackbits(mixed_.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-    return int(np.packbits((weight @ bits) * 2 > weight.sum(), bitorder="little").view(np.uint64)[0])
-
-
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, sig`` (a hash of all words in order), ``f0`` (the shingle fingerprint) and ``ps`` (word fingerprints under WORD_SEEDS) for every row with an id."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """``doc_id, h`` (a hash of all words in order), ``words`` (their number) and ``bands`` (of the five-word shingles) for every row with an id."""
+    bands, rows = tune_bands(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, f0, ps = [], [], []
+            hs, sizes, keys = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                f0.append(fingerprint(text))
                 words = (text or b"").lower().split()
-                sig.append(xxhash.xxh64_intdigest(b" ".join(words)))
-                hashes, counts = np.unique(word_hashes(words), return_counts=True)
-                ps.append([word_fingerprint(hashes, counts, seed) if words else 0 for seed in WORD_SEEDS])
-            signed = lambda x: np.array(x, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(sig)), pa.array(signed(f0)), pa.array(list(signed(ps).reshape(-1, len(WORD_SEEDS))), pa.list_(pa.int64()))], ["doc_id", "sig", "f0", "ps"])
+                hs.append(xxhash.xxh64_intdigest(b" ".join(words)))
+                sizes.append(len(words))
+                # Texts too short for a shingle are alike only if they are equal.
+                whole = signatures(word_hashes(words), np.array([0]), np.array([len(words)]), bands, rows) if len(words) >= SHINGLE else np.zeros((0, bands), np.uint64)
+                keys.append(whole.ravel().view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "words", "bands"])
 
     small_batches(docs.sparkSession)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, sig bigint, f0 bigint, ps array<bigint>")
-
-
-def copy_candidates(nodes: DataFrame) -> DataFrame:
-    """Edges ``a, b`` that join every two nodes (``sig, f0, ps``) that are likely copies.
-
-    Two nodes are, if some word fingerprints differ in two bits or fewer (the grid range-join
-    above, one table a seed) and the shingle fingerprints in NEAR_BITS or fewer. Nodes of cells
-    with more than PAIRED_CELL of them are linked through single-bit neighbours of their word
-    fingerprints, whatever their shingle fingerprints: that joins more, and loses no pair.
-    Components are verified as a whole afterwards.
-    """
-    around = [0] + [sign << (4 * i) if sign > 0 else -(1 << (4 * i)) for i in range(16) for sign in (1, -1)]
-    each = nodes.select("sig", "f0", F.posexplode("ps").alias("k", "p")).withColumn("k", F.col("k").cast("tinyint")).withColumn("v", _counts(F.col("p")))
-    cells = each.select("sig", "f0", "p", "k", F.explode(F.array(*[F.col("v") + F.lit(d) for d in around])).alias("cell"))
-    sizes = cells.groupBy("k", "cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = cells.join(sizes, ["k", "cell"]).withColumn("block", F.when(F.col("members") > PAIRED_CELL, F.pmod("sig", F.ceil(F.col("members") / PAIRED_CELL))).otherwise(0))
-    # Blocks of a cell lie where the join has put the cell: no further shuffle. Full cells come out as they are.
-    grouped = shared.groupBy("k", "cell", "block").agg(F.first("members").alias("members"), F.collect_list(F.struct("sig", "p", _counts(F.col("p")).alias("v"), "f0")).alias("xs"))
-    found = grouped.select(
-        "k",
-        F.explode(
-            F.expr(
-                f"""if(members > {PAIRED_CELL}, transform(xs, x -> struct(cast(null as bigint) as a, x.sig as b, x.p as p)), flatten(transform(xs, x -> transform(
-                    filter(xs, y -> y.sig > x.sig and bit_count(x.p ^ y.p) <= 2 and bit_count(x.f0 ^ y.f0) <= {NEAR_BITS}
-                           and ((x.v = y.v and cell = x.v) or (x.v <> y.v and cell <= (x.v - cell) + y.v))),
-                    y -> struct(x.sig as a, y.sig as b, x.p as p)))))"""
-            )
-        ).alias("e"),
-    )
-    found = staged(found.select("k", "e.a", "e.b", "e.p"), "copy-links")
-    pairs = found.where("a is not null").select("a", "b")
-    dense = staged(found.where("a is null").select("k", "p", F.col("b").alias("sig")).distinct(), "dense")
-    values = staged(dense.groupBy("k", "p").agg(F.min("sig").alias("a")), "values")
-    alike = dense.join(values, ["k", "p"]).select("a", F.col("sig").alias("b")).where("a <> b")
-    flips = [F.col("p").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)]
-    met = (
-        values.select("k", "a", F.explode(F.array(F.col("p"), *flips)).alias("mid"))
-        .groupBy("k", "mid")
-        .agg(F.collect_list("a").alias("xs"))  # at most 65 values lie within one bit of another
-        .where(F.size("xs") > 1)
-    )
-    stars = met.select(F.array_min("xs").alias("a"), F.explode("xs").alias("b")).where("a <> b")
-    out = staged(pairs.unionByName(alike).unionByName(stars).distinct(), "candidates")
-    for table in (found, dense, values):
-        discard(table)
-    return out
+    rows_ = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows_.mapInArrow(run, "doc_id bigint, h bigint, words bigint, bands array<bigint>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -233,26 +177,22 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, component_id`` of every row with an id: classes of texts with a Jaccard similarity of five-word shingles.
 
-    Candidates come from ``copy_candidates``; inside each of their components links are exact.
-    Only texts of the same words in the same order are one node; null and empty texts are such.
+    Texts that share a MinHash band are compared, whatever was replaced, trimmed or added; inside
+    each bucket links are exact. Texts of the same words in the same order are one node; null
+    and empty texts are such.
     """
-    base = staged(sketches(docs, id_col, text_col), "sketches")
-    nodes = staged(base.groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("f0").alias("f0"), F.first("ps").alias("ps"), F.count(F.lit(1)).alias("n")), "nodes")
-    groups = staged(connected_components(copy_candidates(nodes.select("sig", "f0", "ps"))).select(F.col("root").alias("key"), F.col("node").alias("h")), "groups")
-    wanted = staged(groups.join(nodes.select(F.col("sig").alias("h"), F.col("least").alias("doc_id")), "h").select("doc_id", "h"), "wanted")
-    sets = staged(whole_sets(docs, wanted, id_col, text_col), "sets")
-    sizes = groups.join(sets.select("h", F.size("shingles").alias("size")), "h").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("h").alias("c"))
-    members = staged(groups.join(sizes, "key"), "members")
-    fits = (F.col("n") <= GROUP_MEMBERS) & (F.col("total") <= GROUP_WORDS)
-    links = links_inside(members.where(fits).select("key", "h"), sets, similarity)
-    rest = members.where(~fits).select("key", "h", "c")
-    if not rest.isEmpty():
-        links = links.unionByName(links_across(rest, sets, similarity))
-    comps = connected_components(links).withColumnRenamed("node", "sig")
-    rooted = nodes.select("sig", "least").join(comps, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    base = staged(sketches(docs, id_col, text_col, similarity), "sketches")
+    nodes = staged(base.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"), F.first("bands").alias("bands")), "nodes")
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        wanted = staged(asked.join(nodes.select("h", F.col("least").alias("doc_id")), "h").select("doc_id", "h"), "wanted")
+        return whole_sets(docs, wanted, id_col, text_col)
+
+    comps = connected_components(band_links(nodes.select("h", "words", "bands"), sets_of, similarity)).withColumnRenamed("node", "h")
+    rooted = nodes.select("h", "least").join(comps, "h", "left").withColumn("root", F.coalesce("root", "h"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("sig", "component_id")
-    return base.select("doc_id", "sig").join(named, "sig").select("doc_id", "component_id")
+    named = rooted.join(least, "root").select("h", "component_id")
+    return base.select("doc_id", "h").join(named, "h").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = SIMILARITY) -> DataFrame:

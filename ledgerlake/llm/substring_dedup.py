@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -303,21 +303,34 @@ def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     return links.unionByName(verified(prefix_pairs(left, sets, similarity), sets, similarity))
 
 
-def paragraph_classes(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """``h, keeper`` for the paragraphs whose class occurs in several documents; keeper: the smallest of these."""
-    uniq = staged(lines.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("words").alias("words"), F.first("bands").alias("bands")), "uniq")
+def band_links(uniq: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Edges ``a, b`` that span the components of ``uniq`` (``h, words, bands``) under exact Jaccard inside shared bands.
+
+    ``sets_of`` gives ``h, shingles`` for a table of the ``h`` that share a band with another.
+    """
     keyed = uniq.select("h", "words", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("h").alias("c"), F.max("h").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("words").alias("total"), F.expr("bit_xor(h)").alias("all"), F.expr("bit_xor(xxhash64(h))").alias("all2"))
     # Bands that gather the same paragraphs are one bucket.
     buckets = buckets.where("c < top").groupBy("c", "top", "n", "total", "all", "all2").agg(F.min("key").alias("key"))
     members = staged(keyed.join(buckets, "key").select("key", "h", "c", "n", "total"), "members")
-    wanted = staged(members.select("h").distinct().join(uniq.select("h", "least"), "h").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list("h").alias("hs")), "wanted")
-    sets = staged(shingle_sets(docs, wanted, id_col, text_col), "sets")
+    sets = staged(sets_of(members.select("h").distinct()), "sets")
     fits = (F.col("n") <= GROUP_MEMBERS) & (F.col("total") <= GROUP_WORDS)
     links = links_inside(members.where(fits).select("key", "h"), sets, similarity)
     rest = members.where(~fits).select("key", "h", "c")
     if not rest.isEmpty():
         links = links.unionByName(links_across(rest, sets, similarity))
+    return links
+
+
+def paragraph_classes(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """``h, keeper`` for the paragraphs whose class occurs in several documents; keeper: the smallest of these."""
+    uniq = staged(lines.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("words").alias("words"), F.first("bands").alias("bands")), "uniq")
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        wanted = staged(asked.join(uniq.select("h", "least"), "h").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list("h").alias("hs")), "wanted")
+        return shingle_sets(docs, wanted, id_col, text_col)
+
+    links = band_links(uniq, sets_of, similarity)
     comps = connected_components(links)
     rooted = uniq.join(comps.withColumnRenamed("node", "h"), "h", "left").select("h", "least", "most", F.coalesce("root", "h").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("keeper"), F.max("most").alias("most")).where("keeper < most").select("root", "keeper")

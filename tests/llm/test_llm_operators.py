@@ -467,6 +467,26 @@ def test_equal_fingerprints_are_no_copies(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 1}
 
 
+def test_trimmed_extended_and_replaced_copies_are_found(spark):
+    rng = random.Random(41)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, pairs = [], []
+    for n in (50, 60, 200, 1000):
+        for kind in range(3):
+            for _ in range(60):
+                words, few = new(n), int((n - 4) * rng.uniform(0.05, 0.19))
+                other = words[few:] if kind == 0 else words + new(few) if kind == 1 else list(words)
+                for at in rng.sample(range(n), max(1, few // 10)) if kind == 2 else ():
+                    other[at] = new(1)[0]
+                a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, other))
+                if len(a & b) >= 0.8 * len(a | b):
+                    pairs.append((len(texts), len(texts) + 1))
+                texts += [" ".join(words), " ".join(other)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, texts)).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs) and len(pairs) > 600
+    assert all(got[i] >= i - i % 2 for i in got)
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 1.0])
 def test_prefix_pairs_lose_no_link(spark, similarity):
     rng = random.Random(31)
