@@ -3,9 +3,9 @@
 Paragraphs are lines. Their five-word shingles are MinHashed into bands tuned for recall, the
 paragraphs that collide are verified by exact Jaccard, and components of verified links are
 removed everywhere but in the document that has them first. A passage that was pasted into the
-middle of a line is no paragraph; for these, fixed-length windows that start at content-defined
-anchors (local minima of a rolling hash, so the same in every copy) are compared exactly and
-removed in the same way.
+middle of a line is no paragraph; for these, anchors are winnowed from each text so that every
+window of MIN_WORDS words holds one, and around the anchors that several documents share the
+windows at every position are compared exactly: all words of a shared passage go, ends included.
 """
 
 from __future__ import annotations
@@ -23,10 +23,8 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import connected_components, discard, small_batches, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Words of the shortest paragraph, and of a window, that count as a repeat.
+#: Words of a window that counts as a repeat; paragraphs count from SHINGLE words on.
 MIN_WORDS = 24
-#: Words to each side among which an anchor's hash is the smallest; words that it covers.
-ANCHOR_RADIUS, ANCHOR_WORDS = 4, 3
 RECALL, MAX_BANDS = 0.999, 7
 #: Rows of a table of two integers up to which it is broadcast (16 bytes each).
 BROADCAST_ROWS = 500_000
@@ -36,11 +34,11 @@ GROUP_MEMBERS, GROUP_WORDS = 4096, 1_000_000
 WIDE_POSTING = 64
 #: Cells by which elements are counted to order them.
 PREFIX_CELLS = 1 << 16
-DOC, LINE, WINDOW = 0, 1, 2
+DOC, LINE, ANCHOR = 0, 1, 2
 
 _rng = np.random.default_rng(20_240_229)
 _odd = lambda n: _rng.integers(0, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
-_SHINGLE_MUL, _ANCHOR_MUL, _WINDOW_MUL, _MIN_MUL, _MIN_XOR, _BAND_MUL = _odd(64), _odd(16), _odd(512), _odd(256), _odd(256), _odd(256)
+_SHINGLE_MUL, _ANCHOR_MUL, _WINDOW_MUL, _MIN_MUL, _MIN_XOR, _BAND_MUL = _odd(64), _odd(256), _odd(512), _odd(256), _odd(256), _odd(256)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -76,14 +74,21 @@ def runs(hashes: np.ndarray, width: int, factors: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
-def anchors(hashes: np.ndarray) -> np.ndarray:
-    """Positions whose rolling hash is the smallest around; the first of equal ones."""
-    g = runs(hashes, ANCHOR_WORDS, _ANCHOR_MUL)
-    low = np.ones(len(g), bool)
-    for d in range(1, ANCHOR_RADIUS + 1):
-        low[d:] &= g[d:] < g[:-d]
-        low[:-d] &= g[:-d] <= g[d:]
-    return np.flatnonzero(low)
+def anchors(hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of winnowed runs of half a window's words: each window of ``min_words`` words holds its smallest."""
+    width = (min_words + 1) // 2
+    span = min_words - width + 1
+    g = runs(hashes, width, _ANCHOR_MUL)
+    if len(g) < span:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.lib.stride_tricks.sliding_window_view(g, span).argmin(axis=1) + np.arange(len(g) - span + 1)
+    at = at[np.diff(at, prepend=-1) > 0]
+    # Of equal ones side by side, as in a repeated word, the ends and one a span are enough.
+    same = np.zeros(len(at) + 1, bool)
+    same[1:-1] = (np.diff(at) == 1) & (g[at[1:]] == g[at[:-1]])
+    first = np.maximum.accumulate(np.where(same[:-1], 0, np.arange(len(at))))
+    at = at[~same[:-1] | ~same[1:] | ((np.arange(len(at)) - first) % span == 0)]
+    return at, g[at]
 
 
 def paragraphs(text: bytes) -> tuple[list[bytes], np.ndarray]:
@@ -111,7 +116,7 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands:
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, min_words: int, bands: int, rows: int) -> DataFrame:
-    """One pass over the texts: a row for each document, each long paragraph and each window."""
+    """One pass over the texts: a row for each document, each paragraph of SHINGLE words or more and each anchor."""
     schema = "kind tinyint, doc_id bigint, start int, words int, h bigint, bands array<bigint>"
     names = ["kind", "doc_id", "start", "words", "h", "bands"]
 
@@ -122,18 +127,16 @@ def scan(docs: DataFrame, id_col: str, text_col: str, min_words: int, bands: int
                 words, starts = paragraphs(text or b"")
                 hashes = word_hashes(words)
                 begin, end = starts[:-1], starts[1:]
-                long = end - begin >= max(min_words, SHINGLE)
+                long = end - begin >= SHINGLE
                 begin, end = begin[long], end[long]
-                window = anchors(hashes)
-                window = window[window + min_words <= len(words)]
-                n, m = len(begin), len(window)
-                kinds.append(np.repeat(np.array([DOC, LINE, WINDOW], np.int8), [1, n, m]))
+                anchor, marks = anchors(hashes, min_words)
+                n, m = len(begin), len(anchor)
+                kinds.append(np.repeat(np.array([DOC, LINE, ANCHOR], np.int8), [1, n, m]))
                 ids.append(np.full(1 + n + m, -1 if doc_id is None else doc_id))
-                at.append(np.concatenate([[0], begin, window]))
+                at.append(np.concatenate([[0], begin, anchor]))
                 sizes.append(np.concatenate([[len(words)], end - begin, np.full(m, min_words)]))
                 own = [xxhash.xxh64_intdigest(b" ".join(words[a:b])) for a, b in zip(begin, end)]
-                inside = (hashes[window[:, None] + np.arange(min_words)] * _WINDOW_MUL[:min_words]).sum(axis=1, dtype=np.uint64) if m else np.zeros(0, np.uint64)
-                hs.append(np.concatenate([np.zeros(1, np.uint64), np.array(own, np.uint64), mixed(inside)]))
+                hs.append(np.concatenate([np.zeros(1, np.uint64), np.array(own, np.uint64), marks]))
                 keys.append(signatures(hashes, begin, end, bands, rows) if n else np.zeros((0, bands), np.uint64))
             if not kinds:
                 continue
@@ -337,21 +340,48 @@ def paragraph_classes(docs: DataFrame, lines: DataFrame, id_col: str, text_col:
     return rooted.join(classes, "root").select("h", "keeper")
 
 
+def shared_windows(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """``doc_id, start, words, h`` of all windows that hold an anchor which several documents share, at every position.
+
+    ``marks``: ``doc_id, start, h`` of all anchors. A window that two documents share holds an
+    anchor of the same hash in both, so none is left out.
+    """
+    met = marks.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
+    asked = staged(marks.join(met, "h").groupBy("doc_id").agg(F.collect_set("start").alias("at")), "shared-anchors")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(asked, "doc_id").select("doc_id", "text", "at")
+    before = min_words - (min_words + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, starts, hs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+            for doc_id, text, at in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)):
+                h = runs(word_hashes((text or b"").lower().split()), min_words, _WINDOW_MUL)
+                inside = np.zeros(len(h) + 1, np.int64)
+                np.add.at(inside, np.clip(at - before, 0, len(h)), 1)
+                np.add.at(inside, np.clip(at + 1, 0, len(h)), -1)
+                here = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+                ids.append(np.full(len(here), doc_id))
+                starts.append(here.astype(np.int32))
+                hs.append(h[here])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(hs).view(np.int64))], ["doc_id", "start", "h"])
+
+    small_batches(docs.sparkSession)
+    return staged(texts.mapInArrow(run, "doc_id bigint, start int, h bigint"), "windows").withColumn("words", F.lit(min_words))
+
+
 def merge_spans(grouped: DataFrame) -> DataFrame:
     """``doc_id, removed, n_removed, kept_in`` of grouped spans; overlapping word ranges become one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, counts = [], []
-            for starts, ends in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                out: list[list[int]] = []
-                for a, b in sorted(zip(starts, ends)):
-                    if out and a <= out[-1][1]:
-                        out[-1][1] = max(out[-1][1], b)
-                    else:
-                        out.append([a, b])
-                spans.append(out)
-                counts.append(sum(b - a for a, b in out))
+            for starts, ends in zip(batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)):
+                order = np.argsort(starts, kind="stable")
+                starts, ends = starts[order].astype(np.int64), np.maximum.accumulate(ends[order].astype(np.int64))
+                cuts = np.flatnonzero(starts[1:] > ends[:-1])
+                out = np.stack([starts[np.append(0, cuts + 1)], ends[np.append(cuts, len(ends) - 1)]], axis=1)
+                spans.append(out.tolist())
+                counts.append(int((out[:, 1] - out[:, 0]).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(counts, pa.int64()), batch.column(3)], ["doc_id", "removed", "n_removed", "kept_in"])
 
     return grouped.select("doc_id", "starts", "ends", "kept_in").mapInArrow(run, "doc_id bigint, removed array<array<bigint>>, n_removed bigint, kept_in array<bigint>")
@@ -361,9 +391,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: ``doc_id, n_words, n_removed, removed, kept_in``.
 
     ``removed``: merged [start, end) word ranges that repeat what another document has first;
-    ``kept_in``: the documents that keep a copy. A repeat is a paragraph (line) of ``min_words``
-    or more in a class that several documents share, or a window of ``min_words`` words that
-    several share. The smallest id keeps; repeats inside one document are left alone. Null
+    ``kept_in``: the documents that keep a copy. A repeat is a paragraph (line) of SHINGLE words
+    or more in a class that several documents share, or a window of ``min_words`` words, wherever
+    it starts, that several share. The smallest id keeps; repeats inside one document are left alone. Null
     and empty texts have no words. Rows with a null id are left out; rows that repeat an id
     are one document for keeping and come out as often as they go in.
     """
@@ -372,10 +402,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bands, rows = tune_bands(similarity)
     found = staged(scan(docs, id_col, text_col, min_words, bands, rows), "scan")
     lines = found.where(f"kind = {LINE}")
-    windows = found.where(f"kind = {WINDOW}").select("doc_id", "start", "words", "h")
+    windows = shared_windows(docs, found.where(f"kind = {ANCHOR}").select("doc_id", "start", "h"), id_col, text_col, min_words)
     keep_line = paragraph_classes(docs, lines, id_col, text_col, similarity)
     keep_window = windows.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most")).where("keeper < most").select("h", "keeper")
-    spans = lines.select("doc_id", "start", "words", "h").join(keep_line, "h").unionByName(windows.join(keep_window, "h")).where("doc_id <> keeper")
+    spans = lines.select("doc_id", "start", "words", "h").join(keep_line, "h").unionByName(windows.join(keep_window, "h").select("doc_id", "start", "words", "h", "keeper")).where("doc_id <> keeper")
     grouped = spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list(F.col("start") + F.col("words")).alias("ends"), F.array_sort(F.collect_set("keeper")).alias("kept_in"))
     removed = staged(merge_spans(grouped), "removed")
     return found.where(f"kind = {DOC}").select("doc_id", F.col("words").cast("bigint").alias("n_words")).join(removed, "doc_id", "left").select(

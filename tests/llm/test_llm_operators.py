@@ -132,6 +132,22 @@ def test_repeated_passages_are_found_anywhere(spark, monkeypatch):
     assert again == got
 
 
+def test_every_shared_word_of_a_passage_goes(spark):
+    rng = random.Random(43)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = [], {}
+    for n in [23, 24, 25, 30, 30, 30, 40, 51, 80] * 6:
+        passage, before, after = new(n), rng.randrange(1, 40), rng.randrange(1, 40)
+        texts.append(" ".join(new(rng.randrange(1, 40)) + passage + new(rng.randrange(1, 40))))
+        want[len(texts)] = [[before, before + n]] if n >= 24 else []
+        texts.append(" ".join(new(before) + passage + new(after)))
+    line = " ".join(new(6))
+    texts += [" ".join(new(30)) + "\n" + line, line + "\n" + " ".join(new(30)), "in " * 90 + " ".join(new(9)), " ".join(new(9)) + " in" * 70]
+    want |= {len(texts) - 3: [[0, 6]], len(texts) - 1: [[9, 79]]}
+    got = {r["doc_id"]: r["removed"] for r in substring_dedup.find_repeats(docs(spark, texts)).collect()}
+    assert got == {i: want.get(i, []) for i in range(len(texts))}
+
+
 def test_cut_keeps_other_bytes():
     assert substring_dedup.cut("a  bé c\nd ", [[1, 3]]) == "a  d "
     assert substring_dedup.cut("a b", [[0, 2]]) == "" and substring_dedup.cut(" a b", []) == " a b"
