@@ -429,8 +429,7 @@ def cut(text: str, removed: list[list[int]]) -> str:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without their repeats, with the columns they came with.
 
-    A document that loses ``similarity`` or more of its words is a copy and goes; others keep
-    what is left. ``length_col``, if there is such a column, becomes the new text's length.
+    A document that loses all of its words goes; others keep what is left. ``length_col``, if there is such a column, becomes the new text's length.
     Rows with a null id stay as they are.
     """
     found = find_repeats(docs, id_col, text_col, similarity, min_words)
@@ -439,7 +438,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = lost.agg(F.count(F.lit(1)), F.sum(F.size("removed"))).first()
     if size[0] <= BROADCAST_ROWS // 4 and (size[1] or 0) <= BROADCAST_ROWS:
         lost = F.broadcast(lost)
-    changed = lost.select(F.col("doc_id").alias("__key"), (F.col("n_removed") >= similarity * F.col("n_words")).alias("__copy"), F.col("removed").alias("__removed"))
+    changed = lost.select(F.col("doc_id").alias("__key"), (F.col("n_removed") >= F.col("n_words")).alias("__copy"), F.col("removed").alias("__removed"))
     names = docs.columns
     text_at = names.index(text_col)
 

@@ -148,6 +148,13 @@ def test_every_shared_word_of_a_passage_goes(spark):
     assert got == {i: want.get(i, []) for i in range(len(texts))}
 
 
+def test_own_words_of_a_mostly_shared_document_stay(spark):
+    passage, own = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("p", 200), ("q", 9)))
+    texts = [passage, passage + "\n" + own, "a b\n" + passage, passage]
+    kept = {r["doc_id"]: r["text"].split() for r in substring_dedup.remove_repeats(docs(spark, texts)).collect()}
+    assert kept == {0: passage.split(), 1: own.split(), 2: ["a", "b"]}
+
+
 def test_cut_keeps_other_bytes():
     assert substring_dedup.cut("a  bé c\nd ", [[1, 3]]) == "a  d "
     assert substring_dedup.cut("a b", [[0, 2]]) == "" and substring_dedup.cut(" a b", []) == " a b"
