@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
 
+#: Keys of a list up to which it is broadcast; ranges of keys by which a longer one is met.
+SHORT_LIST, SEEK_RANGES = 10_000, 200
+
 
 def winners(log: DataFrame, snapshot: int | None = None, order: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Newest version of every key, tombstones included: ``user_key, kind, value, seqno`` and ``carry``."""
@@ -71,13 +74,34 @@ def history(log: DataFrame, start: str | None = None) -> DataFrame:
 
 
 def seek(log: DataFrame, targets: DataFrame) -> DataFrame:
-    """First entry at or after each target key: smallest key, newest version. ``targets``: a short list, so broadcast."""
+    """First entry at or after each target key: smallest key, newest version.
+
+    A short list of targets is broadcast; a longer one is met in one ordered pass per range of keys.
+    """
     heads = log.groupBy("user_key").agg(F.max_by(F.struct("seqno", "kind"), "seqno").alias("w"))
     few = targets.select("target").distinct()
-    hit = heads.join(F.broadcast(few.limit(10_000)), F.col("user_key") >= F.col("target")).groupBy("target").agg(F.min(F.struct("user_key", "w")).alias("m"))
+    if few.limit(SHORT_LIST + 1).count() <= SHORT_LIST:
+        hit = heads.join(F.broadcast(few), F.col("user_key") >= F.col("target")).groupBy("target").agg(F.min(F.struct("user_key", "w")).alias("m"))
+    else:
+        hit = _seek_ordered(heads, few)
     return few.join(hit, "target", "left").select("target", "m.user_key", "m.w.seqno", "m.w.kind")
 
 
+def _seek_ordered(heads: DataFrame, targets: DataFrame) -> DataFrame:
+    """``target, m`` for any number of targets: the next head is carried backwards inside ranges of keys, then across them."""
+    asked = targets.where("target is not null")
+    cuts = sorted((r["target"] for r in asked.orderBy(F.xxhash64("target"), "target").limit(SEEK_RANGES).collect()), key=lambda k: k.encode())
+    at_or_below = lambda key: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= key))
+    m = F.struct("user_key", "w")
+    entries = heads.where("user_key is not null").select(at_or_below(F.col("user_key")).alias("part"), F.col("user_key").alias("key"), F.lit(0).alias("asked"), m.alias("m"))
+    wanted = asked.select(at_or_below(F.col("target")).alias("part"), F.col("target").alias("key"), F.lit(1).alias("asked"), F.lit(None).cast(entries.schema["m"].dataType).alias("m"))
+    back = Window.partitionBy("part").orderBy(F.desc("key"), "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = entries.unionByName(wanted).withColumn("near", F.last("m", ignorenulls=True).over(back)).where("asked = 1")
+    firsts = entries.groupBy("part").agg(F.min("m").alias("first"))  # one row a range
+    later = asked.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("from")).join(F.broadcast(firsts), F.col("part") > F.col("from")).groupBy(F.col("from").alias("part")).agg(F.min("first").alias("later"))
+    return seen.join(F.broadcast(later), "part", "left").select(F.col("key").alias("target"), F.coalesce("near", "later").alias("m"))
+
+
 def scan_range(log: DataFrame, start: str | None = None, end: str | None = None, snapshot: int | None = None, limit: int | None = None) -> DataFrame:
     """Live keys of [start, end) in order. Bounds and snapshot reach the scan."""
     if start is not None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
 from ledgerlake.functions.codecs import pack_blocks
+from ledgerlake.operators import reads
 from ledgerlake.operators.reads import winners
 
 
@@ -78,9 +79,17 @@ def footers(block_rows: DataFrame) -> DataFrame:
 
 
 def find_blocks(index_rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """First block of each run whose last key is not below each wanted key (a short list, broadcast)."""
-    few = F.broadcast(keys.select(F.col("user_key").alias("wanted")).distinct().limit(10_000))
-    return index_rows.join(few, F.col("last_key") >= F.col("wanted")).groupBy("sst_id", "wanted").agg(F.min("block_idx").alias("block_idx"))
+    """First block of each run whose last key is not below each wanted key.
+
+    A short list of keys is broadcast; a longer one is met in one ordered pass per run.
+    """
+    few = keys.select(F.col("user_key").alias("wanted")).distinct()
+    if few.limit(reads.SHORT_LIST + 1).count() <= reads.SHORT_LIST:
+        return index_rows.join(F.broadcast(few), F.col("last_key") >= F.col("wanted")).groupBy("sst_id", "wanted").agg(F.min("block_idx").alias("block_idx"))
+    held = index_rows.select("sst_id", F.col("last_key").alias("wanted"), F.lit(0).alias("asked"), "block_idx")
+    asked = few.where("wanted is not null").crossJoin(F.broadcast(index_rows.select("sst_id").distinct())).select("sst_id", "wanted", F.lit(1).alias("asked"), F.lit(None).cast(held.schema["block_idx"].dataType).alias("block_idx"))  # a row of the result each
+    back = Window.partitionBy("sst_id").orderBy(F.desc("wanted"), "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return held.unionByName(asked).withColumn("block_idx", F.min("block_idx").over(back)).where("asked = 1 and block_idx is not null").select("sst_id", "wanted", "block_idx")
 
 
 def key_ranges(runs: DataFrame) -> DataFrame:
@@ -98,9 +107,9 @@ def overlaps(ranges: DataFrame) -> DataFrame:
 
 
 def prune(ranges: DataFrame, keys: DataFrame) -> DataFrame:
-    """Runs whose range may hold each wanted key (a short list, broadcast)."""
-    few = F.broadcast(keys.select(F.col("user_key").alias("wanted")).distinct().limit(10_000))
-    return ranges.join(few, F.col("wanted").between(F.col("smallest_key"), F.col("largest_key"))).select("wanted", "sst_id")
+    """Runs whose range may hold each wanted key. ``ranges``: one row a run, so broadcast; keys may be any number."""
+    wanted = keys.select(F.col("user_key").alias("wanted")).distinct()
+    return wanted.join(F.broadcast(ranges), F.col("wanted").between(F.col("smallest_key"), F.col("largest_key"))).select("wanted", "sst_id")
 
 
 def compact(runs: DataFrame, chosen=None, oldest_included: bool = True, snapshots: tuple[int, ...] = ()) -> DataFrame:

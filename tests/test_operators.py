@@ -66,6 +66,23 @@ def test_seek_and_scans(spark):
     assert [r["user_key"] for r in reads.scan_prefix(kv, "d").collect()] == ["d"]
 
 
+def test_long_key_lists_lose_no_row(spark):
+    at = [3 * i for i in range(3000)]
+    key = lambda i: f"k{i:06d}"
+    kv = spark.createDataFrame([(key(i), n + 1, 1 + n % 2, None) for n, i in enumerate(at)], LOG.split(", source")[0])
+    asked = [*range(10_500), 10**6]
+    keys = spark.createDataFrame([(key(i),) for i in asked], "user_key string")
+    n_of = lambda i: -(-i // 3) if i <= at[-1] else None
+    got = {r["target"]: tuple(r)[1:] for r in reads.seek(kv, keys.withColumnRenamed("user_key", "target")).collect()}
+    assert got == {key(i): (None,) * 3 if (n := n_of(i)) is None else (key(at[n]), n + 1, 1 + n % 2) for i in asked}
+    index = spark.createDataFrame([(s, b, key(at[-1] * (b + 1) // 10 + s)) for s in (0, 1) for b in range(10)], "sst_id bigint, block_idx bigint, last_key string")
+    got = {(r["sst_id"], r["wanted"]): r["block_idx"] for r in runs.find_blocks(index, keys).collect()}
+    lasts = {s: [at[-1] * (b + 1) // 10 + s for b in range(10)] for s in (0, 1)}
+    assert got == {(s, key(i)): next(b for b in range(10) if lasts[s][b] >= i) for s in (0, 1) for i in asked if i <= lasts[s][-1]}
+    ranges = spark.createDataFrame([(0, key(0), key(10_400))], "sst_id bigint, smallest_key string, largest_key string")
+    assert runs.prune(ranges, keys).count() == 10_401
+
+
 def test_random_log_against_a_dict(spark):
     rng = random.Random(5)
     rows, model, sample = [], {}, {}
