@@ -27,7 +27,12 @@ TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B,
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+DEFAULT_DURATION, BLOCK_DURATION = 0x23E383, 0x9B
+SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 NO_LACING, XIPH_LACING, FIXED_LACING, EBML_LACING = 0, 1, 2, 3
+#: The elements that end a segment, and a cluster, of unknown size.
+TOP_LEVEL = frozenset((EBML, SEGMENT))
+ENDS = {SEGMENT: TOP_LEVEL, CLUSTER: TOP_LEVEL | {INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS}}
 
 UNIT = 192
 SAMPLE_RATE = 48_000
@@ -52,6 +57,7 @@ class Media(NamedTuple):
     sample_rate: float
     clusters: int
     cues: list[tuple[int, int]]
+    last_block: int  # timestamp
 
 
 def size_vint(value: int, width: int = 0) -> bytes:
@@ -172,12 +178,25 @@ def mux(payload: bytes) -> bytes:
     return head + element(SEGMENT, b"".join(parts))
 
 
+def unknown_end(data: bytes, ident: int, at: int, end: int) -> int:
+    """Where an element of unknown size ends: a segment or cluster before the next element of its level, others with their parent."""
+    while ident in ENDS and at < end:
+        child, body = read_vint(data, at, keep_marker=True)
+        if child in ENDS[ident]:
+            return at
+        size, body = read_vint(data, body)
+        at = unknown_end(data, child, body, end) if size < 0 else body + size
+        if at > end:
+            raise ValueError(f"element {child:#x} runs past its parent")
+    return end
+
+
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """Id, body start and body end of each element of a range; an unknown size reaches its end."""
+    """Id, body start and body end of each element of a range."""
     while at < end:
         ident, at = read_vint(data, at, keep_marker=True)
         size, at = read_vint(data, at)
-        stop = end if size < 0 else at + size
+        stop = unknown_end(data, ident, at, end) if size < 0 else at + size
         if stop > end:
             raise ValueError(f"element {ident:#x} runs past its parent")
         yield ident, at, stop
@@ -185,18 +204,30 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
 
 
 def parse(data: bytes) -> Media:
-    """Packets, cues and track facts of a file; raises ValueError where it is not well formed."""
+    """Packets, cues and track facts of a file; raises ValueError where it is not well formed.
+
+    Later frames of a laced block are timed by the duration of their block, else by the default
+    duration of their track, else, in PCM, by the samples before them; where a file tells none
+    of these they have the time of their block.
+    """
     packets: list[Packet] = []
     cues: list[tuple[int, int]] = []
-    duration, codec, rate, clusters, scale = 0.0, "", 0.0, 0, 1_000_000
+    duration, codec, rate, clusters, scale, last = 0.0, "", 0.0, 0, 1_000_000, 0
+    steps: dict[int, tuple[float, float]] = {}  # of each track: nanoseconds a frame, nanoseconds a byte
     number = lambda a, b: int.from_bytes(data[a:b], "big")
     real = lambda a, b: struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] if b > a else 0.0
 
-    def block(a: int, b: int, base: int) -> None:
+    def block(a: int, b: int, base: int, lasts: int | None = None) -> None:
+        nonlocal last
         track, a = read_vint(data, a)
         shift, flags = struct.unpack_from(">hB", data, a)
         kind = flags >> 1 & 3
-        packets.extend(Packet(track, base + shift, clusters - 1, kind, x, n) for x, n in unlace(data, a + 3, b, kind))
+        frames = unlace(data, a + 3, b, kind)
+        frame_ns, byte_ns = (lasts * scale / len(frames), 0.0) if lasts is not None else steps.get(track, (0.0, 0.0))
+        last, before = base + shift, 0
+        for i, (x, n) in enumerate(frames):
+            packets.append(Packet(track, last + int((i * frame_ns or before * byte_ns) / scale + 1e-6), clusters - 1, kind, x, n))
+            before += n
 
     top = list(elements(data, 0, len(data)))
     if not top or top[0][0] != EBML:
@@ -214,11 +245,20 @@ def parse(data: bytes) -> Media:
                         scale = number(c, d)
             elif ident == TRACKS:
                 for _, c, d in elements(data, a, b):
+                    track, frame_ns, name, audio = 0, 0, "", {}
                     for ident, e, f in elements(data, c, d):
                         if ident == CODEC_ID:
-                            codec = data[e:f].decode()
+                            codec = name = data[e:f].decode()
+                        elif ident == TRACK_NUMBER:
+                            track = number(e, f)
+                        elif ident == DEFAULT_DURATION:
+                            frame_ns = number(e, f)
                         elif ident == AUDIO:
-                            rate = next((real(x, y) for i, x, y in elements(data, e, f) if i == SAMPLING), rate)
+                            audio = {i: (x, y) for i, x, y in elements(data, e, f)}
+                            rate = real(*audio[SAMPLING]) if SAMPLING in audio else rate
+                    width = number(*audio[BIT_DEPTH]) * (number(*audio[CHANNELS]) if CHANNELS in audio else 1) if BIT_DEPTH in audio else 0
+                    hertz = real(*audio[SAMPLING]) if SAMPLING in audio else 8000.0  # the format's default
+                    steps[track] = (frame_ns, 8e9 / (width * hertz) if name.startswith("A_PCM/") and width * hertz > 0 else 0.0)
             elif ident == CLUSTER:
                 clusters, base = clusters + 1, 0
                 for ident, c, d in elements(data, a, b):
@@ -227,15 +267,17 @@ def parse(data: bytes) -> Media:
                     elif ident == SIMPLE_BLOCK:
                         block(c, d, base)
                     elif ident == BLOCK_GROUP:
-                        for ident, e, f in elements(data, c, d):
+                        group = list(elements(data, c, d))
+                        lasts = next((number(e, f) for ident, e, f in group if ident == BLOCK_DURATION), None)
+                        for ident, e, f in group:
                             if ident == BLOCK:
-                                block(e, f, base)
+                                block(e, f, base, lasts)
             elif ident == CUES:
                 for _, c, d in elements(data, a, b):
                     point = dict((i, (x, y)) for i, x, y in elements(data, c, d))
                     spot = dict((i, (x, y)) for i, x, y in elements(data, *point[CUE_TRACK_POSITIONS]))
                     cues.append((number(*point[CUE_TIME]), segment + number(*spot[CUE_CLUSTER_POSITION])))
-    return Media(packets, duration * scale / 1e6, codec, rate, clusters, cues)
+    return Media(packets, duration * scale / 1e6, codec, rate, clusters, cues, last)
 
 
 def padded(text: bytes | None) -> bytes:
@@ -284,9 +326,8 @@ def features(media: bytes) -> tuple[bytes, str]:
     kinds = [0] * 4
     for p in found.packets:
         kinds[p.lacing] += 1
-    last = found.packets[-1].timestamp if found.packets else 0
     sought = all(media[at : at + 4] == CLUSTER.to_bytes(4, "big") for _, at in found.cues)
-    line = f"codec={found.codec};rate={found.sample_rate:.0f};clusters={found.clusters};cues={len(found.cues)};seekable={int(sought)};packets={len(found.packets)};lacing={'/'.join(map(str, kinds))};last_ms={last}"
+    line = f"codec={found.codec};rate={found.sample_rate:.0f};clusters={found.clusters};cues={len(found.cues)};seekable={int(sought)};packets={len(found.packets)};lacing={'/'.join(map(str, kinds))};last_ms={found.last_block}"
     return payload, line
 
 

@@ -577,6 +577,20 @@ def test_matroska_unknown_sizes_and_errors():
         assert broken == data[:-3]
 
 
+def test_matroska_live_clusters_and_laced_times():
+    live = lambda ident, body: ident.to_bytes(4, "big") + b"\xff" + body
+    block = matroska.element(matroska.SIMPLE_BLOCK, b"\x81\x00\x05\x84" + matroska.lace([b"ab", b"cd", b"ef"], matroska.FIXED_LACING))
+    clusters = [live(matroska.CLUSTER, matroska.unsigned(matroska.CLUSTER_TIMESTAMP, 100 * i) + block) for i in range(3)]
+    cues = matroska.element(matroska.CUES, matroska.element(matroska.CUE_POINT, matroska.unsigned(matroska.CUE_TIME, 0) + matroska.element(matroska.CUE_TRACK_POSITIONS, matroska.unsigned(matroska.CUE_CLUSTER_POSITION, 0))))
+    track = matroska.element(matroska.TRACKS, matroska.element(matroska.TRACK_ENTRY, matroska.unsigned(matroska.TRACK_NUMBER, 1) + matroska.unsigned(0x23E383, 20_000_000)))
+    one = matroska.element(matroska.EBML, b"") + live(matroska.SEGMENT, track + b"".join(clusters) + cues)
+    found = matroska.parse(one + one)
+    assert [(p.timestamp, p.cluster) for p in found.packets] == [(100 * (i % 3) + 5 + 20 * k, i) for i in range(6) for k in range(3)]
+    assert (found.clusters, len(found.cues)) == (6, 2)
+    timed = matroska.parse(matroska.mux(b"x" * 768 * 16))
+    assert [p.timestamp for p in timed.packets] == [16 * i for i in range(16)]
+
+
 def test_media_columns(spark):
     texts = ["short", None, "", "é" * 4000, "same", "same"]
     df = docs(spark, texts)
