@@ -1,24 +1,32 @@
-"""Shared pieces: staged tables in the shared folder and connected components."""
+"""Shared pieces: staged tables in the shared folder, batches, column names and connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a batch handed to Python: whole texts can be long, so batches stay small.
-BATCH_ROWS = "512"
+BATCH_ROWS = 128
+#: Rows of a table of a few integers up to which it is broadcast (16 to 40 bytes each).
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests, a local folder is chosen and set.
+    Where that setting is absent a local folder is chosen and set, but only if driver and
+    executors are one process, as in tests; on a cluster its absence is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -28,26 +36,64 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, batches handed to Python hold at most so many rows; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For a frame that is returned before it runs: from now on batches of the session hold at most BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def staged(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends here.
+
+    Python functions in ``df`` get batches of at most ``rows``. What was shuffled for the table is
+    garbage from now on; Spark deletes shuffle files only when the driver collects its
+    garbage, so that is asked for here, or the files of all steps would add up.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with batches_of(spark, rows):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    gc.collect()
+    spark._jvm.System.gc()
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``staged`` that nothing reads any more."""
-    path = getattr(df, "staged_at", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete tables made by ``staged`` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "staged_at", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a staged table of a few integers a row if it is short; else leave it to a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, or with underscores after it a name that no column of ``frames`` has, whatever the case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

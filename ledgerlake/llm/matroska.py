@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import small_batches
+from ledgerlake.llm.common import staged
 
 # Element ids, fixed values of the public format.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -291,8 +291,7 @@ def _map(docs: DataFrame, id_col: str, text_col: str, make, schema: pa.Schema, d
             rows = [row for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()) for row in make(key, raw)]
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in rows], schema)
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("body")).mapInArrow(run, ddl)
+    return staged(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("body")).mapInArrow(run, ddl), "media")
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,15 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import connected_components, small_batches, staged
-from ledgerlake.llm.substring_dedup import (
-    _SHINGLE_MUL, SHINGLE, SIMILARITY, band_links, maybe_broadcast, runs, signatures, tune_bands, word_hashes,
-)
+from ledgerlake.llm.banding import SHINGLE, SIMILARITY, band_classes, signatures, tune_bands, word_hashes
+from ledgerlake.llm.common import connected_components, discard, fresh, maybe_broadcast, staged
+from ledgerlake.llm.substring_dedup import texts_of
 
 #: Members of a cell up to which its pairs are examined; fuller cells take the other exact way.
 PAIRED_CELL = 64
 #: Shingles whose bits are counted at a time.
 SHINGLE_BLOCK = 65_536
+#: Bands of whole texts: with so many, four rows a band reach the recall.
+MAX_BANDS = 14
 
 
 def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
@@ -50,15 +51,14 @@ def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (fp: the fingerprint as a signed bigint) for every row; null text: fp 0."""
+    """``doc_id, fp`` (fp: the fingerprint as a signed bigint) for every row; null text: fp 0. A staged table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x, shingle) for x in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return staged(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint"), "fingerprints")
 
 
 def _counts(fp: F.Column) -> F.Column:
@@ -125,21 +125,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one that reaches no id has a null component_id. Repeated rows come out as often as they
     go in. Other columns are ignored.
     """
-    base = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    base = fingerprints(docs, id_col, text_col, shingle)
     distinct = base.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comps = connected_components(links(distinct.select("fp"), max_bits))
+    comps = staged(connected_components(links(distinct.select("fp"), max_bits)), "comps")
     linked = comps.join(distinct.withColumnRenamed("fp", "node"), "node")
     roots = linked.groupBy("root").agg(F.min("least").alias("least"))
     moved = comps.join(roots, "root").select(F.col("node").alias("fp"), F.col("least").alias("component_id"))
-    named = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # A table of its own, so that the join below is one that Spark splits where many rows share a fingerprint.
+    named = staged(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
+    discard(comps)
     return base.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """``doc_id, h`` (a hash of all words in order), ``words`` (their number) and ``bands`` (of the five-word shingles) for every row with an id."""
-    bands, rows = tune_bands(similarity)
+    """``doc_id, h`` (a hash of all words in order), ``words`` (their number) and ``bands`` (of the five-word shingles) for every row with an id. A staged table."""
+    bands, rows = tune_bands(similarity, max_bands=MAX_BANDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,25 +155,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
                 keys.append(whole.ravel().view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "words", "bands"])
 
-    small_batches(docs.sparkSession)
     rows_ = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows_.mapInArrow(run, "doc_id bigint, h bigint, words bigint, bands array<bigint>")
-
-
-def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``h, shingles`` of the documents ``wanted`` (``doc_id, h``): sorted distinct hashes of five-word shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                hashes = word_hashes((text or b"").lower().split())
-                sets.append(np.unique(runs(hashes, min(SHINGLE, max(1, len(hashes))), _SHINGLE_MUL)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["h", "shingles"])
-
-    small_batches(docs.sparkSession)
-    asked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(maybe_broadcast(wanted), "doc_id").select("h", "text")
-    return asked.mapInArrow(run, "h bigint, shingles array<bigint>").groupBy("h").agg(F.first("shingles").alias("shingles"))
+    return staged(rows_.mapInArrow(run, "doc_id bigint, h bigint, words bigint, bands array<bigint>"), "sketches")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -179,37 +164,50 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts that share a MinHash band are compared, whatever was replaced, trimmed or added; inside
     each bucket links are exact. Texts of the same words in the same order are one node; null
-    and empty texts are such.
+    and empty texts are such. Other columns are ignored.
     """
-    base = staged(sketches(docs, id_col, text_col, similarity), "sketches")
+    base = sketches(docs, id_col, text_col, similarity)
     nodes = staged(base.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"), F.first("bands").alias("bands")), "nodes")
 
-    def sets_of(asked: DataFrame) -> DataFrame:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # an id that repeats may have other texts too
+            hs = batch.column(0).to_pylist()
+            right = [xxhash.xxh64_intdigest(b" ".join(body.as_py().lower().split())) == h % 2**64 for h, body in zip(hs, batch.column(1))]
+            yield batch.filter(pa.array(right, pa.bool_()))
+
+    def bodies_of(asked: DataFrame) -> DataFrame:
         wanted = staged(asked.join(nodes.select("h", F.col("least").alias("doc_id")), "h").select("doc_id", "h"), "wanted")
-        return whole_sets(docs, wanted, id_col, text_col)
+        texts = texts_of(docs, wanted, id_col, text_col).join(wanted, "doc_id")
+        return texts.select("h", F.col("text").cast("binary").alias("body")).where("body is not null").mapInArrow(named, "h bigint, body binary")
 
-    comps = connected_components(band_links(nodes.select("h", "words", "bands"), sets_of, similarity)).withColumnRenamed("node", "h")
-    rooted = nodes.select("h", "least").join(comps, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    comps = band_classes(nodes.select("h", "words", "bands"), bodies_of, similarity)
+    rooted = nodes.select("h", "least").join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("h", "component_id")
-    return base.select("doc_id", "h").join(named, "h").select("doc_id", "component_id")
+    out = staged(base.select("doc_id", "h").join(rooted.join(least, "root").select("h", "component_id"), "h").select("doc_id", "component_id"), "classes")
+    discard(base, nodes, comps)
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = SIMILARITY) -> DataFrame:
-    """One document of each class, the one with the smallest id, with the columns it came with.
+    """One document of each class, the one with the smallest id, with the columns it came with, whatever their names and types.
 
     Classes are those of ``near_copies`` at ``similarity``, or without one those of
-    ``near_duplicates``. Rows that repeat an id are one document: the smallest of them stays.
-    Rows without an id cannot be told apart from the document that they repeat and stay.
+    ``near_duplicates``. Rows that repeat an id are one document: of these the one whose
+    columns (maps aside) have the smallest hash stays. Rows without an id cannot be told apart from the document that they
+    repeat and stay.
     """
     found = near_duplicates(docs, id_col, text_col).drop("fingerprint") if similarity is None else near_copies(docs, id_col, text_col, similarity)
     found = staged(found.where("doc_id is not null"), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    again = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id")
-    out = maybe_broadcast(staged(gone.unionByName(again).distinct(), "gone"))
-    twice = maybe_broadcast(staged(again.join(gone, "__id", "left_anti"), "again"))
-    key = F.col(id_col).cast("bigint") == F.col("__id")
-    once = docs.join(out, key, "left_anti").select(*docs.columns)
-    repeated = docs.join(twice, key, "left_semi")
-    least = repeated.groupBy(F.col(id_col).alias("__key")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
-    return once.unionByName(least.select("__row.*"))
+    name = fresh("id_", docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    again = found.groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(name)
+    out = staged(gone.unionByName(again).distinct(), "gone")
+    twice = staged(again.join(gone, name, "left_anti"), "again")
+    discard(found)
+    key = F.col(id_col).cast("bigint") == F.col(name)
+    once = docs.join(maybe_broadcast(out), key, "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return once
+    repeated = docs.join(maybe_broadcast(twice), key, "left_semi")
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*[f.name for f in docs.schema if "map<" not in f.dataType.simpleString()])).alias("row_")
+    return once.unionByName(repeated.groupBy(F.col(id_col).cast("bigint").alias(name)).agg(row).select("row_.*"))

@@ -2,17 +2,19 @@
 
 Paragraphs are lines. Their five-word shingles are MinHashed into bands tuned for recall, the
 paragraphs that collide are verified by exact Jaccard, and components of verified links are
-removed everywhere but in the document that has them first. A passage that was pasted into the
-middle of a line is no paragraph; for these, anchors are winnowed from each text so that every
-window of MIN_WORDS words holds one, and around the anchors that several documents share the
-windows at every position are compared exactly: all words of a shared passage go, ends included.
+repeats everywhere but in the document that has them first. A passage that was pasted into the
+middle of a line is no paragraph, and one that goes over several lines is none; for these,
+anchors are winnowed from each text so that every window of ``min_words`` words holds one, and
+around the anchors that several documents share the windows at every position are compared
+exactly: all words of a shared passage go, ends included.
+
+Paragraphs of any length are compared. Only repeats of ``min_words`` words or more are removed;
+shorter ones, such as a common closing line, are reported and stay.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,63 +22,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import connected_components, discard, small_batches, staged
+from ledgerlake.llm.banding import SHINGLE, SIMILARITY, band_classes, runs, signatures, tune_bands, word_hashes
+from ledgerlake.llm.common import BROADCAST_ROWS, discard, fresh, staged
 
-SHINGLE, SIMILARITY = 5, 0.8
-#: Words of a window that counts as a repeat; paragraphs count from SHINGLE words on.
-MIN_WORDS = 24
-RECALL, MAX_BANDS = 0.999, 7
-#: Rows of a table of two integers up to which it is broadcast (16 bytes each).
-BROADCAST_ROWS = 500_000
-#: Members and words of a bucket that one task compares; larger ones are compared by joins.
-GROUP_MEMBERS, GROUP_WORDS = 4096, 1_000_000
-#: Sets that hold an element up to which it is counted by its posting.
-WIDE_POSTING = 64
-#: Cells by which elements are counted to order them.
-PREFIX_CELLS = 1 << 16
-DOC, LINE, ANCHOR = 0, 1, 2
+#: Words of a repeat that is removed: a little under fifty, so that ends that were edited or run together do not save a passage of over fifty.
+MIN_WORDS = 45
+DOC, LINE = 0, 1
 
-_rng = np.random.default_rng(20_240_229)
-_odd = lambda n: _rng.integers(0, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
-_SHINGLE_MUL, _ANCHOR_MUL, _WINDOW_MUL, _MIN_MUL, _MIN_XOR, _BAND_MUL = _odd(64), _odd(256), _odd(512), _odd(256), _odd(256), _odd(256)
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_rng = np.random.default_rng(20_240_301)
+_ANCHOR_MUL, _WINDOW_MUL = (_rng.integers(0, 2**63, 1024, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
 
-def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, max_bands: int = MAX_BANDS) -> tuple[int, int]:
-    """Bands and rows a band: the most selective rows with which ``max_bands`` or fewer reach the recall."""
-    best = (max_bands, 1)
-    for rows in range(1, 17):
-        for bands in range(1, max_bands + 1):
-            if 1 - (1 - similarity**rows) ** bands >= recall:
-                best = (bands, rows)
-                break
-    return best
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter(map(digest, words), np.uint64, len(words))
-
-
-def runs(hashes: np.ndarray, width: int, factors: np.ndarray) -> np.ndarray:
-    """A hash of every ``width`` consecutive words."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = hashes[:n] * factors[0]
-    for i in range(1, width):
-        out += hashes[i : n + i] * factors[i]
-    return mixed(out)
+def anchor_width(min_words: int) -> int:
+    return max(1, min_words // 4)
 
 
 def anchors(hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of winnowed runs of half a window's words: each window of ``min_words`` words holds its smallest."""
-    width = (min_words + 1) // 2
+    """Positions and hashes of winnowed short runs of words: each window of ``min_words`` words holds its smallest."""
+    width = anchor_width(min_words)
     span = min_words - width + 1
     g = runs(hashes, width, _ANCHOR_MUL)
     if len(g) < span:
@@ -101,255 +64,135 @@ def paragraphs(text: bytes) -> tuple[list[bytes], np.ndarray]:
     return words, np.array(starts, np.int64)
 
 
-def signatures(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Band keys of paragraphs of SHINGLE words or more, a row for each."""
-    s = np.append(runs(hashes, SHINGLE, _SHINGLE_MUL), np.uint64(2**64 - 1))
-    cuts = np.stack([starts, ends - SHINGLE + 1], axis=1).ravel()
-    keys = np.zeros((len(starts), bands), np.uint64)
-    for band in range(bands):
-        key = np.full(len(starts), band, np.uint64)
-        for k in range(band * rows, band * rows + rows):
-            low = np.minimum.reduceat((s ^ _MIN_XOR[k]) * _MIN_MUL[k], cuts)[::2]
-            key = mixed(key * _BAND_MUL[k] + low)
-        keys[:, band] = key
-    return keys
+def of_words(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words))
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, min_words: int, bands: int, rows: int) -> DataFrame:
-    """One pass over the texts: a row for each document, each paragraph of SHINGLE words or more and each anchor."""
-    schema = "kind tinyint, doc_id bigint, start int, words int, h bigint, bands array<bigint>"
-    names = ["kind", "doc_id", "start", "words", "h", "bands"]
+    """One pass over the texts: a row for each document, with its anchors, and one for each paragraph, with its bands.
+
+    ``at``: places of a document's anchors, ``keys``: their hashes, or the bands of a paragraph of
+    SHINGLE words or more (shorter ones are alike only if they are equal).
+    """
+    schema = "kind tinyint, doc_id bigint, start int, words int, h bigint, at array<int>, keys array<bigint>"
+    names = ["kind", "doc_id", "start", "words", "h", "at", "keys"]
+
+    def listed(lists: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *lists]), kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for batch in batches:
-            kinds, ids, at, sizes, hs, keys = [], [], [], [], [], []
+            kinds, ids, at, sizes, hs, places, keys = [], [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 words, starts = paragraphs(text or b"")
                 hashes = word_hashes(words)
                 begin, end = starts[:-1], starts[1:]
+                begin, end = begin[end > begin], end[end > begin]
+                n = len(begin)
+                place, marks = anchors(hashes, min_words)
                 long = end - begin >= SHINGLE
-                begin, end = begin[long], end[long]
-                anchor, marks = anchors(hashes, min_words)
-                n, m = len(begin), len(anchor)
-                kinds.append(np.repeat(np.array([DOC, LINE, ANCHOR], np.int8), [1, n, m]))
-                ids.append(np.full(1 + n + m, -1 if doc_id is None else doc_id))
-                at.append(np.concatenate([[0], begin, anchor]))
-                sizes.append(np.concatenate([[len(words)], end - begin, np.full(m, min_words)]))
-                own = [xxhash.xxh64_intdigest(b" ".join(words[a:b])) for a, b in zip(begin, end)]
-                hs.append(np.concatenate([np.zeros(1, np.uint64), np.array(own, np.uint64), marks]))
-                keys.append(signatures(hashes, begin, end, bands, rows) if n else np.zeros((0, bands), np.uint64))
-            if not kinds:
-                continue
-            kind = np.concatenate(kinds)
-            lined = kind == LINE
-            offsets = np.concatenate([[0], np.cumsum(np.where(lined, bands, 0))]).astype(np.int32)
-            values = np.concatenate(keys).ravel().view(np.int64)
+                banded = signatures(hashes, begin[long], end[long], bands, rows).view(np.int64) if long.any() else np.zeros((0, bands), np.int64)
+                kinds += [DOC] + [LINE] * n
+                ids += [doc_id] * (1 + n)
+                at += [0, *begin]
+                sizes += [len(words), *(end - begin)]
+                hs += [of_words(words), *(of_words(words[a:b]) for a, b in zip(begin, end))]
+                places += [place] + [none] * n
+                keys.append(marks.view(np.int64))
+                of_line = iter(banded)
+                keys += [next(of_line) if x else none for x in long]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kind), pa.array(np.concatenate(ids)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(hs).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                [pa.array(kinds, pa.int8()), pa.array(ids, pa.int64()), pa.array(np.array(at, np.int32)), pa.array(np.array(sizes, np.int32)), pa.array(np.array(hs, np.uint64).view(np.int64)), listed(places, pa.int32()), listed(keys, pa.int64())],
                 names,
             )
 
-    small_batches(docs.sparkSession)
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return staged(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "scan")
 
 
-def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a staged table of a few integers a row if it is short; else leave it to a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text`` of the documents that ``ids`` (a staged table) names, and no others if it is short."""
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_ROWS else texts
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``h, shingles`` of the paragraphs ``wanted`` (``doc_id, h``): sorted distinct shingle hashes."""
-    asked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(maybe_broadcast(wanted), "doc_id").select("text", "hs")
+def line_bodies(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``h, body`` of the paragraphs ``wanted`` (``doc_id, hs``, staged): their words, single-spaced."""
+    asked = texts_of(docs, wanted.select("doc_id"), id_col, text_col).join(wanted, "doc_id").select("text", "hs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sets = [], []
+            found, bodies = [], []
             for text, hs in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 hs = set(hs)
                 for line in (text or b"").lower().split(b"\n"):
                     words = line.split()
                     if len(words) < SHINGLE:
                         continue
-                    h = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words))).view(np.int64))
+                    h = int(np.uint64(of_words(words)).view(np.int64))
                     if h in hs:
                         hs.discard(h)
                         found.append(h)
-                        sets.append(np.unique(runs(word_hashes(words), SHINGLE, _SHINGLE_MUL)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["h", "shingles"])
-
-    small_batches(docs.sparkSession)
-    return asked.mapInArrow(run, "h bigint, shingles array<bigint>").groupBy("h").agg(F.first("shingles").alias("shingles"))
-
+                        bodies.append(b" ".join(words))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(bodies, pa.binary())], ["h", "body"])
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` whose shingle sets have the Jaccard similarity or more, as a staged table.
-
-    The sets of the ``a`` are broadcast if they are small together, short lists of pairs also;
-    else they are shuffled.
-    """
-    pairs = staged(pairs, "pairs")
-    asked = maybe_broadcast(pairs)
-    left = sets.join(maybe_broadcast(pairs.select(F.col("a").alias("h")).distinct()), "h", "left_semi").select(F.col("h").alias("a"), F.col("shingles").alias("x"))
-    elements = left.agg(F.sum(F.size("x"))).first()[0] or 0
-    left = F.broadcast(left) if elements <= BROADCAST_ROWS else left
-    both = sets.toDF("b", "y").join(asked, "b").join(left, "a").where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
-    common = F.size(F.array_intersect("x", "y"))
-    out = staged(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
-    discard(pairs)
-    return out
+    return asked.mapInArrow(run, "h bigint, body binary")
 
 
-def linked_inside(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For each set the smallest position of its component under Jaccard links, all pairs compared.
-
-    Common elements are counted by a matrix product, elements that few sets hold by their
-    postings, so the work on a group of near copies stays far below a comparison of every pair.
-    """
-    m = len(sets)
-    sizes = np.array([len(x) for x in sets], np.int64)
-    owner = np.repeat(np.arange(m), sizes)
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = np.zeros((m, m), np.float32)
-    wide = count > WIDE_POSTING
-    if wide.any():
-        number = np.cumsum(wide) - 1
-        at = wide[column]
-        dense = np.zeros((m, int(wide.sum())), np.float32)
-        dense[owner[at], number[column[at]]] = 1
-        common += dense @ dense.T
-    narrow = np.flatnonzero((count[column] > 1) & ~wide[column])
-    narrow = narrow[np.argsort(column[narrow], kind="stable")]
-    for posting in np.split(owner[narrow], np.flatnonzero(np.diff(column[narrow])) + 1) if len(narrow) else []:
-        common[np.ix_(posting, posting)] += 1
-    near = common >= similarity * (sizes[:, None] + sizes[None, :] - common)
-    label = np.full(m, -1)
-    for first in range(m):
-        if label[first] >= 0:
-            continue
-        front = np.array([first])
-        label[first] = first
-        while len(front):
-            reached = near[front].any(axis=0) & (label < 0)
-            front = np.flatnonzero(reached)
-            label[front] = first
-    return label
-
-
-def links_inside(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges ``a, b`` that span the components of each group ``key`` of ``members`` (``key, h``)."""
-    grouped = members.join(sets, "h").groupBy("key").agg(F.collect_list(F.struct("h", "shingles")).alias("xs")).select("xs")
+def paragraph_classes(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """``h, keeper`` for the paragraphs whose class occurs in several documents; keeper: the smallest of these. A staged table."""
+    uniq = staged(lines.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("words").alias("words"), F.first("keys").alias("bands")), "uniq")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i in range(batch.num_rows):
-                group = batch.column(0)[i].values
-                h = group.field("h").to_numpy()
-                label = linked_inside(group.field("shingles").to_numpy(zero_copy_only=False), similarity)
-                other = np.flatnonzero(label != np.arange(len(h)))
-                a.append(h[label[other]])
-                b.append(h[other])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+    def bodies_of(asked: DataFrame) -> DataFrame:
+        wanted = staged(asked.join(uniq.select("h", "least"), "h").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list("h").alias("hs")), "wanted")
+        return line_bodies(docs, wanted, id_col, text_col)
 
-    members.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
+    comps = band_classes(uniq.select("h", "words", "bands"), bodies_of, similarity)
+    rooted = uniq.join(comps.withColumnRenamed("node", "h"), "h", "left").select("h", "least", "most", F.coalesce("root", "h").alias("root"))
+    classes = rooted.groupBy("root").agg(F.min("least").alias("keeper"), F.max("most").alias("last")).where("keeper < last").select("root", "keeper")
+    out = staged(rooted.join(classes, "root").select("h", "keeper"), "classes")
+    discard(uniq, comps)
+    return out
 
 
-def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` of ``members`` (``h, root``) with different roots that may reach the similarity; none that does is left out.
+def free_anchors(found: DataFrame, copies: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+    """``h, doc_id, start`` of the anchors that can tell something new. A staged table.
 
-    A staged table. Elements are put in one order, those first that few sets hold by the count of their cell,
-    one of PREFIX_CELLS. Sets of the Jaccard similarity share an element among the first few, as
-    many as may be missing in the other set and one more; that holds for any order.
+    Left out are those of whole ``copies`` (``doc_id, h``), which the first holder has also, and
+    those inside a removed paragraph (``doc_id, start, words``): what goes cannot keep anything.
     """
-    held = members.join(sets, "h")
-    counts = held.select(F.explode("shingles").alias("e")).groupBy(F.pmod("e", F.lit(PREFIX_CELLS)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-    table = np.zeros(PREFIX_CELLS, np.int64)
-    table[counts.column("cell").to_numpy()] = counts.column("n").to_numpy()
-    sent = members.sparkSession.sparkContext.broadcast(table)  # PREFIX_CELLS counts, whatever the input
+    marked = found.where(f"kind = {DOC} and size(at) > 0").select("doc_id", "h", "at", "keys").join(copies, ["doc_id", "h"], "left_anti")
+    gone = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("gone"))
+    width = anchor_width(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = batch.column(2).to_numpy(zero_copy_only=False)
-            sizes = np.array([len(x) for x in sets], np.int64)
-            first = [x[np.lexsort((x, sent.value[x % PREFIX_CELLS]))[: len(x) - math.ceil(len(x) * similarity - 1e-9) + 1]] for x in sets]
-            rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in first]))
-            at = np.concatenate([np.zeros(0, np.int32), *[np.arange(len(x), dtype=np.int32) for x in first]])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes, pa.int32()).take(rows), pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *first]))], ["h", "root", "n", "at", "e"])
-
-    small_batches(members.sparkSession)
-    first = staged(held.select("h", "root", "shingles").mapInArrow(run, "h bigint, root bigint, n int, at int, e bigint"), "prefixes")
-    # What only sets of one root hold joins nothing.
-    met = first.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("e")
-    index = staged(first.join(met, "e", "left_semi").select("h", "root", "n", "at", "e"), "prefixes")
-    discard(first)
-    left, right = index.toDF("a", "root_a", "n_a", "at_a", "e"), index.toDF("b", "root_b", "n_b", "at_b", "e")
-    # What two sets can share from here on must be enough, at the first element that both hold.
-    alike = left.join(right, "e").where((F.col("root_a") < F.col("root_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - 1e-9))
-    firsts = alike.groupBy("a", "b").agg(F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6
-    out = staged(firsts.where(enough).select("a", "b"), "candidates")
-    discard(index)
-    return out
-
-
-def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The same for groups too large for one task: the first member (``c``) against all, then what is still apart, by rare elements."""
-    stars = members.where("h <> c").select(F.col("c").alias("a"), F.col("h").alias("b")).distinct()
-    links = verified(stars, sets, similarity)
-    comps = staged(connected_components(links), "comps")
-    classed = members.join(comps.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
-    apart = classed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = staged(classed.join(apart, "key", "left_semi").select("h", "root").distinct(), "apart")
-    left = maybe_broadcast(left)
-    return links.unionByName(verified(prefix_pairs(left, sets, similarity), sets, similarity))
-
-
-def band_links(uniq: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Edges ``a, b`` that span the components of ``uniq`` (``h, words, bands``) under exact Jaccard inside shared bands.
-
-    ``sets_of`` gives ``h, shingles`` for a table of the ``h`` that share a band with another.
-    """
-    keyed = uniq.select("h", "words", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("h").alias("c"), F.max("h").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("words").alias("total"), F.expr("bit_xor(h)").alias("all"), F.expr("bit_xor(xxhash64(h))").alias("all2"))
-    # Bands that gather the same paragraphs are one bucket.
-    buckets = buckets.where("c < top").groupBy("c", "top", "n", "total", "all", "all2").agg(F.min("key").alias("key"))
-    members = staged(keyed.join(buckets, "key").select("key", "h", "c", "n", "total"), "members")
-    sets = staged(sets_of(members.select("h").distinct()), "sets")
-    fits = (F.col("n") <= GROUP_MEMBERS) & (F.col("total") <= GROUP_WORDS)
-    links = links_inside(members.where(fits).select("key", "h"), sets, similarity)
-    rest = members.where(~fits).select("key", "h", "c")
-    if not rest.isEmpty():
-        links = links.unionByName(links_across(rest, sets, similarity))
-    return links
-
-
-def paragraph_classes(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """``h, keeper`` for the paragraphs whose class occurs in several documents; keeper: the smallest of these."""
-    uniq = staged(lines.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("words").alias("words"), F.first("bands").alias("bands")), "uniq")
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                at, marks = batch.column(1)[i].values.to_numpy(), batch.column(2)[i].values.to_numpy()
+                if batch.column(3)[i].is_valid:
+                    spans = batch.column(3)[i].values
+                    starts, ends = spans.field("start").to_numpy(), spans.field("start").to_numpy() + spans.field("words").to_numpy()
+                    k = np.searchsorted(starts, at, side="right") - 1
+                    free = (k < 0) | (at + width > ends[k])
+                    at, marks = at[free], marks[free]
+                out.append((marks, np.full(len(at), doc_id), at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["h", "doc_id", "start"])
 
-    def sets_of(asked: DataFrame) -> DataFrame:
-        wanted = staged(asked.join(uniq.select("h", "least"), "h").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list("h").alias("hs")), "wanted")
-        return shingle_sets(docs, wanted, id_col, text_col)
-
-    links = band_links(uniq, sets_of, similarity)
-    comps = connected_components(links)
-    rooted = uniq.join(comps.withColumnRenamed("node", "h"), "h", "left").select("h", "least", "most", F.coalesce("root", "h").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min("least").alias("keeper"), F.max("most").alias("most")).where("keeper < most").select("root", "keeper")
-    return rooted.join(classes, "root").select("h", "keeper")
+    return staged(marked.join(gone, "doc_id", "left").select("doc_id", "at", "keys", "gone").mapInArrow(run, "h bigint, doc_id bigint, start int"), "anchors")
 
 
 def shared_windows(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``doc_id, start, words, h`` of all windows that hold an anchor which several documents share, at every position.
+    """``doc_id, start, h`` of all windows that hold an anchor which several documents share, at every position. A staged table.
 
-    ``marks``: ``doc_id, start, h`` of all anchors. A window that two documents share holds an
+    ``marks``: ``h, doc_id, start`` of the anchors. A window that two documents share holds an
     anchor of the same hash in both, so none is left out.
     """
     met = marks.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
     asked = staged(marks.join(met, "h").groupBy("doc_id").agg(F.collect_set("start").alias("at")), "shared-anchors")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(asked, "doc_id").select("doc_id", "text", "at")
-    before = min_words - (min_words + 1) // 2
+    texts = texts_of(docs, asked.select("doc_id"), id_col, text_col).join(asked, "doc_id").select("doc_id", "text", "at")
+    before = min_words - anchor_width(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,92 +208,107 @@ def shared_windows(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str
                 hs.append(h[here])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(hs).view(np.int64))], ["doc_id", "start", "h"])
 
-    small_batches(docs.sparkSession)
-    return staged(texts.mapInArrow(run, "doc_id bigint, start int, h bigint"), "windows").withColumn("words", F.lit(min_words))
+    out = staged(texts.mapInArrow(run, "doc_id bigint, start int, h bigint"), "windows")
+    discard(asked)
+    return out
 
 
 def merge_spans(grouped: DataFrame) -> DataFrame:
-    """``doc_id, removed, n_removed, kept_in`` of grouped spans; overlapping word ranges become one."""
+    """``doc_id, removed, n_removed, kept_in, short`` of grouped spans; overlapping word ranges become one."""
+
+    def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.zeros((0, 2), np.int64)
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order].astype(np.int64), np.maximum.accumulate(ends[order].astype(np.int64))
+        cuts = np.flatnonzero(starts[1:] > ends[:-1])
+        return np.stack([starts[np.append(0, cuts + 1)], ends[np.append(cuts, len(ends) - 1)]], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, counts = [], []
-            for starts, ends in zip(batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)):
-                order = np.argsort(starts, kind="stable")
-                starts, ends = starts[order].astype(np.int64), np.maximum.accumulate(ends[order].astype(np.int64))
-                cuts = np.flatnonzero(starts[1:] > ends[:-1])
-                out = np.stack([starts[np.append(0, cuts + 1)], ends[np.append(cuts, len(ends) - 1)]], axis=1)
+            spans, counts, short = [], [], []
+            for i in range(batch.num_rows):
+                starts, words, long = (batch.column(1)[i].values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "words", "long"))
+                out = merged(starts[long], (starts + words)[long])
                 spans.append(out.tolist())
                 counts.append(int((out[:, 1] - out[:, 0]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(counts, pa.int64()), batch.column(3)], ["doc_id", "removed", "n_removed", "kept_in"])
+                rest = np.unique(np.stack([starts[~long], (starts + words)[~long]], axis=1), axis=0)
+                # Those inside a removed range go with it.
+                k = np.searchsorted(out[:, 0], rest[:, 0], side="right") - 1
+                short.append(rest[(k < 0) | (rest[:, 1] > out[k, 1]) if len(out) else np.ones(len(rest), bool)].tolist())
+            kind = pa.list_(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), pa.array(counts, pa.int64()), batch.column(2), pa.array(short, kind)], ["doc_id", "removed", "n_removed", "kept_in", "short"])
 
-    return grouped.select("doc_id", "starts", "ends", "kept_in").mapInArrow(run, "doc_id bigint, removed array<array<bigint>>, n_removed bigint, kept_in array<bigint>")
+    return grouped.mapInArrow(run, "doc_id bigint, removed array<array<bigint>>, n_removed bigint, kept_in array<bigint>, short array<array<bigint>>")
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_removed, removed, kept_in``.
-
-    ``removed``: merged [start, end) word ranges that repeat what another document has first;
-    ``kept_in``: the documents that keep a copy. A repeat is a paragraph (line) of SHINGLE words
-    or more in a class that several documents share, or a window of ``min_words`` words, wherever
-    it starts, that several share. The smallest id keeps; repeats inside one document are left alone. Null
-    and empty texts have no words. Rows with a null id are left out; rows that repeat an id
-    are one document for keeping and come out as often as they go in.
+    """One row per row of ``docs``: ``doc_id, n_words, n_removed, removed, kept_in, short``.
+
+    ``removed``: merged [start, end) word ranges, of ``min_words`` words or more each, that repeat
+    what another document has first; ``kept_in``: the documents that keep a copy. A repeat is a
+    paragraph (line) in a class that several documents share, or a window of ``min_words`` words,
+    wherever it starts, that several share. ``short``: the ranges of shorter paragraphs that
+    repeat what another document has first; these stay. The smallest id keeps; repeats inside one
+    document are left alone. Null and empty texts have no words. Rows with a null id come out with
+    nothing removed and are compared with nothing, for no document could be named that keeps
+    or loses. Rows that repeat an id are one document for keeping and come out as often as they
+    go in. Other columns are ignored. A table without rows gives none.
     """
-    if not SHINGLE <= min_words <= len(_WINDOW_MUL):
+    if not 1 <= min_words <= len(_WINDOW_MUL):
         raise ValueError("min_words is out of range")
     bands, rows = tune_bands(similarity)
-    found = staged(scan(docs, id_col, text_col, min_words, bands, rows), "scan")
-    lines = found.where(f"kind = {LINE}")
-    windows = shared_windows(docs, found.where(f"kind = {ANCHOR}").select("doc_id", "start", "h"), id_col, text_col, min_words)
-    keep_line = paragraph_classes(docs, lines, id_col, text_col, similarity)
-    keep_window = windows.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most")).where("keeper < most").select("h", "keeper")
-    spans = lines.select("doc_id", "start", "words", "h").join(keep_line, "h").unionByName(windows.join(keep_window, "h").select("doc_id", "start", "words", "h", "keeper")).where("doc_id <> keeper")
-    grouped = spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list(F.col("start") + F.col("words")).alias("ends"), F.array_sort(F.collect_set("keeper")).alias("kept_in"))
+    found = scan(docs, id_col, text_col, min_words, bands, rows)
+    named = found.where("doc_id is not null")
+    lines = named.where(f"kind = {LINE}")
+    classes = paragraph_classes(docs, lines, id_col, text_col, similarity)
+    repeated = staged(lines.join(classes, "h").where("doc_id <> keeper").select("doc_id", "start", "words", "keeper"), "repeated")
+    wholes = named.where(f"kind = {DOC} and words >= {min_words}").select("doc_id", "h", "words")
+    firsts = wholes.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("h", "keeper")
+    copies = staged(wholes.join(firsts, "h").where("doc_id <> keeper"), "copies")
+    marks = free_anchors(named, copies.select("doc_id", "h"), repeated.where(f"words >= {min_words}"), min_words)
+    windows = shared_windows(docs, marks, id_col, text_col, min_words)
+    firsts = windows.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("h", "keeper")
+    lost = windows.join(firsts, "h").where("doc_id <> keeper").select("doc_id", "start", F.lit(min_words).alias("words"), "keeper")
+    spans = repeated.unionByName(copies.select("doc_id", F.lit(0).alias("start"), "words", "keeper")).unionByName(lost)
+    long = F.col("words") >= min_words
+    grouped = spans.groupBy("doc_id").agg(
+        F.collect_list(F.struct("start", "words", long.alias("long"))).alias("spans"), F.array_sort(F.collect_set(F.when(long, F.col("keeper")))).alias("kept_in")
+    )
     removed = staged(merge_spans(grouped), "removed")
-    return found.where(f"kind = {DOC}").select("doc_id", F.col("words").cast("bigint").alias("n_words")).join(removed, "doc_id", "left").select(
+    out = found.where(f"kind = {DOC}").select("doc_id", F.col("words").cast("bigint").alias("n_words")).join(removed, "doc_id", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<array<bigint>>")).alias("removed"), F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"),
+        F.coalesce("short", F.array().cast("array<array<bigint>>")).alias("short"),
     )
-
-
-def cut(text: str, removed: list[list[int]]) -> str:
-    """A text without the words of the ranges and the white space after them."""
-    raw = text.encode()
-    at = [m.start() for m in _WORD.finditer(raw)] + [len(raw)]
-    out, last = [], 0
-    for a, b in removed:
-        out.append(raw[last : at[min(a, len(at) - 1)]])
-        last = at[min(b, len(at) - 1)]
-    out.append(raw[last:])
-    return b"".join(out).decode()
+    result = staged(out, "repeats")
+    discard(found, classes, repeated, copies, marks, windows, removed)
+    return result
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without their repeats, with the columns they came with.
+    """``docs`` without their repeats, with the columns they came with, whatever their names and types.
 
     A document that loses all of its words goes; others keep what is left. ``length_col``, if there is such a column, becomes the new text's length.
-    Rows with a null id stay as they are.
+    Rows with a null id stay as they are. Rows that repeat an id with different texts lose what the
+    first of them loses, by its places.
     """
     found = find_repeats(docs, id_col, text_col, similarity, min_words)
-    lost = found.where("n_removed > 0").groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.first("n_removed").alias("n_removed"), F.first("removed").alias("removed"))
-    lost = staged(lost, "changed")
-    size = lost.agg(F.count(F.lit(1)), F.sum(F.size("removed"))).first()
-    if size[0] <= BROADCAST_ROWS // 4 and (size[1] or 0) <= BROADCAST_ROWS:
-        lost = F.broadcast(lost)
-    changed = lost.select(F.col("doc_id").alias("__key"), (F.col("n_removed") >= F.col("n_words")).alias("__copy"), F.col("removed").alias("__removed"))
-    names = docs.columns
-    text_at = names.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [cut(x, r) if r and x else x for x, r in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist())]
-            columns = list(batch.columns[: len(names)])
-            columns[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    joined = docs.join(changed, F.col(id_col).cast("bigint") == F.col("__key"), "left").where(F.col("__copy").isNull() | ~F.col("__copy"))
-    out = joined.select(*names, "__removed").mapInArrow(run, docs.schema)
-    if length_col in names:
-        out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
-    return out.select(*names)
+    key, gone, spans = (fresh(x, docs) for x in ("key_", "gone_", "spans_"))
+    least = F.min_by(F.struct("n_words", "n_removed", "removed"), F.struct("n_words", "n_removed")).alias("x")
+    changed = found.where("n_removed > 0").groupBy(F.col("doc_id").alias(key)).agg(least).select(key, (F.col("x.n_removed") >= F.col("x.n_words")).alias(gone), F.col("x.removed").alias(spans))
+    changed = staged(changed, "changed")
+    discard(found)
+    if (changed.agg(F.sum(F.size(spans))).first()[0] or 0) <= BROADCAST_ROWS:
+        changed = F.broadcast(changed)
+    joined = docs.join(changed, F.col(id_col).cast("bigint") == F.col(key), "left").where(F.col(gone).isNull() | ~F.col(gone))
+    text, ranges = F.col(text_col), F.col(spans)
+    pieces = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    begin = lambda i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(F.get(ranges, i - 1), F.lit(1)))
+    end = lambda i: F.when(i == F.size(ranges), F.size(pieces).cast("bigint")).otherwise(F.get(F.get(ranges, i), F.lit(0)))
+    rest = F.transform(F.sequence(F.lit(0), F.size(ranges)), lambda i: F.array_join(F.slice(pieces, (begin(i) + 1).cast("int"), F.greatest(end(i) - begin(i), F.lit(0)).cast("int")), ""))
+    cut_text = F.concat(F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0), F.array_join(rest, ""))
+    out = joined.withColumn(text_col, F.when(ranges.isNull(), text).otherwise(cut_text))
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.when(F.col(text_col).isNull() | ranges.isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
+    return out.select(*docs.columns)

@@ -9,6 +9,7 @@ the number of pieces that greedy longest-match-first takes, without building a p
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -16,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import small_batches
+from ledgerlake.llm.common import staged
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct words whose counts a worker remembers; older ones are forgotten together.
 REMEMBERED_WORDS = 400_000
 
-_built: dict[int, "WordPieceCounter"] = {}
+_built: dict[bytes, "WordPieceCounter"] = {}
 
 
 def read_vocabulary(path: str = DEFAULT_VOCABULARY) -> list[bytes]:
@@ -103,7 +104,10 @@ class WordPieceCounter:
 
 def counter(pieces: list[bytes]) -> WordPieceCounter:
     """The automaton of a vocabulary, built once in each worker process."""
-    key = hash((len(pieces), pieces[0] if pieces else b"", pieces[-1] if pieces else b"", sum(map(len, pieces))))
+    content = hashlib.sha256()
+    for piece in pieces:
+        content.update(len(piece).to_bytes(4, "big") + piece)
+    key = content.digest()
     if key not in _built:
         _built.clear()
         _built[key] = WordPieceCounter(pieces)
@@ -129,7 +133,5 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id
                 ["doc_id", "n_tokens", "n_words", "n_bytes"],
             )
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, n_words bigint, n_bytes bigint"
-    )
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return staged(texts.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_words bigint, n_bytes bigint"), "token-counts")

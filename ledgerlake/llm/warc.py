@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import new_path, small_batches, staged
+from ledgerlake.llm.common import discard, new_path, staged
 
 #: Bytes of an archive after which the next one begins; bytes handed to the file system at once.
 ARCHIVE_BYTES, WRITE_BYTES = 512 << 20, 4 << 20
@@ -135,7 +135,6 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             out.write(b"".join(held))
             out.close()
 
-    small_batches(pages.sparkSession)
     return staged(rows.mapInArrow(run, INDEX), "warc-index")
 
 
@@ -178,11 +177,10 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
                     yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], k) for c, k in zip(names, kinds)], names)
         source and source.close()
 
-    small_batches(index.sparkSession)
     total = index.agg(F.sum("length")).first()[0] or 0
     tasks = 1 + 2 * total // TASK_BYTES  # by the bytes to fetch, of which the index rows themselves show nothing
     dealt = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / TASK_BYTES)).sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(run, schema)
+    return staged(dealt.mapInArrow(run, schema), "warc-records", rows=4096)  # index rows are short
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
