@@ -2,9 +2,10 @@
 
 A text is the set of its character n-grams of one to three symbols (blended spectrum,
 presence only) over a 64-symbol alphabet of bytes. The kernel of two texts is the cosine of
-their presence vectors. Landmark texts give Nystroem features, kernel ridge regression on
-these is fitted one language against the rest, and batches of texts are scored by two matrix
-products.
+their presence vectors, over all n-grams: those that no landmark holds add nothing to a
+product with one and count in a text's length. Landmark texts give Nystroem features, kernel
+ridge regression on these is fitted one language against the rest, and batches of texts are
+scored by two matrix products.
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import small_batches
+from ledgerlake.llm.common import BATCH_ROWS, batches_of, small_batches
 
-#: Bounds of the fit: labelled texts in all, landmarks in all, n-grams that enter the kernel.
-TRAIN_TEXTS, LANDMARKS, NGRAMS, RIDGE = 600, 96, 6000, 1e-3
-#: Languages that can be told apart; rarer ones beyond this count are not learned.
-MAX_LANGS = 200
+#: Bounds of the fit: labelled texts in all and landmarks in all, but about so many texts and one landmark of each language.
+TRAIN_TEXTS, LANDMARKS, RIDGE = 600, 96, 1e-3
+LEAST_TEXTS = 16
 UNKNOWN = "und"
 SPACE = 1 + 64 + 64 * 64
 TABLE = SPACE + 64**3
@@ -36,7 +36,7 @@ _symbols[128:] = 27 + np.arange(128) % 37
 
 class Model(NamedTuple):
     langs: list[str]
-    grams: np.ndarray  # n-gram numbers that enter the kernel
+    grams: np.ndarray  # numbers of the n-grams that some landmark holds
     landmarks: np.ndarray  # n-grams x landmarks, presence scaled to unit length
     weights: np.ndarray  # landmarks x languages: Nystroem map and ridge weights in one
 
@@ -76,22 +76,18 @@ def fit(langs: list[str], bits: list[bytes]) -> Model:
     """Model of labelled presence vectors, each packed into bytes."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs], np.int64)
-    # n-grams whose presence differs most between languages, and no others, span the kernel
-    means = np.zeros((len(names), TABLE), np.float32)
-    for k, packed in zip(y, bits):
-        means[k] += unpacked(packed)
-    means /= np.bincount(y, minlength=len(names))[:, None]
-    spread = means.var(axis=0) if len(names) > 1 else means[0]
-    grams = np.sort(np.argsort(-spread, kind="stable")[: min(NGRAMS, int((means.max(axis=0) > 0).sum()))])
-    x = np.stack([unpacked(packed)[grams] for packed in bits]).astype(np.float64)
-    x /= np.maximum(1.0, np.sqrt(x.sum(axis=1, keepdims=True)))
     per = max(1, LANDMARKS // len(names))
     chosen = np.concatenate([np.flatnonzero(y == k)[:per] for k in range(len(names))])
-    marks = x[chosen].T
+    grams = np.flatnonzero(np.bitwise_or.reduce([unpacked(bits[i]) for i in chosen]))
+    x = np.empty((len(bits), len(grams)), np.float32)
+    for row, packed in zip(x, bits):
+        flags = unpacked(packed)
+        row[:] = flags[grams] / np.sqrt(max(1, flags.sum(dtype=np.int64)))
+    marks = x[chosen].T.astype(np.float64)
     values, vectors = np.linalg.eigh(marks.T @ marks)
     keep = values > 1e-8 * max(values.max(), 1e-12)
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = np.hstack([x @ marks @ root, np.ones((len(x), 1))])
+    z = np.hstack([x @ marks.astype(np.float32) @ root, np.ones((len(x), 1))])
     share = np.bincount(y, minlength=len(names))
     weight = (len(y) / (len(names) * share))[y][:, None]  # languages weigh alike
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
@@ -106,20 +102,20 @@ def score(model: Model, texts: list[bytes]) -> np.ndarray:
     x = np.empty((len(texts), len(model.grams)), np.float32)
     for row, flags in zip(x, presence(texts)):
         row[:] = flags[model.grams]
-    x /= np.maximum(1.0, np.sqrt(x.sum(axis=1, keepdims=True)))
+        row /= np.sqrt(max(1, np.count_nonzero(flags)))
     return (x @ model.landmarks) @ model.weights[:-1] + model.weights[-1]
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_texts: int) -> tuple[list[str], list[bytes]]:
-    """Packed presence vectors of at most about ``train_texts`` labelled texts, equally many of each language.
+    """Packed presence vectors of at most about ``train_texts`` labelled texts, equally many of each language and, if there are so many, LEAST_TEXTS.
 
     The sample goes by a hash of the id; texts stay on the executors, 33 KB a text come back.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("x"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return [], []
-    each = max(1, train_texts // len(counts))
+    each = max(LEAST_TEXTS, train_texts // len(counts))
     space = 1 << 30
     hashed = F.pmod(F.xxhash64("i", "x"), F.lit(space))
     below = F.create_map(*[v for k, n in counts.items() for v in (F.lit(k), F.lit(min(space, -(-space * each // n))))])
@@ -130,9 +126,9 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
             packed = [np.packbits(flags).tobytes() for flags in presence(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["h", "lang", "bits"])
 
-    small_batches(docs.sparkSession)
     sample = rows.select(hashed.alias("h"), "x", "lang").where(F.col("h") < below[F.col("lang")])
-    got = sample.mapInArrow(run, "h bigint, lang string, bits binary").orderBy("h", "lang", "bits").limit(2 * train_texts).collect()
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        got = sample.mapInArrow(run, "h bigint, lang string, bits binary").orderBy("h", "lang", "bits").limit(2 * each * len(counts)).collect()
     return [r["lang"] for r in got], [bytes(r["bits"]) for r in got]
 
 
@@ -141,7 +137,8 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
 
     ``train`` gives the labelled rows. Null texts and texts without a letter, and all texts if
     nothing was learned, are ``und`` with score 0. Ties go to the language that sorts first.
-    Columns of ``docs`` named as the new ones are replaced. Null ids and repeated rows stay.
+    Columns of ``docs`` named as the new ones are replaced. Null ids and repeated rows stay. The
+    session's Arrow batches are short from now on, for the frame runs later.
     """
     langs, bits = training_sample(train, id_col, text_col, lang_col, train_texts)
     model = fit(langs, bits) if langs else None
@@ -150,7 +147,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     where = kept.index(text_col)
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    sent = spark.sparkContext.broadcast(model)  # at most NGRAMS x LANDMARKS floats
+    sent = spark.sparkContext.broadcast(model)  # n-grams of LANDMARKS texts x LANDMARKS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

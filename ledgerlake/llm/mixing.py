@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ledgerlake.llm.common import staged
+from ledgerlake.llm.common import fresh, staged
 
 #: Documents that a block holds on average: what one task orders.
 BLOCK_DOCS = 4096
@@ -97,7 +97,13 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     target_entropy: float = 0.98, max_repeats: float = 2.0, budget: int | None = None, seed: int = 0,
 ) -> DataFrame:
-    """The drawn documents: ``doc_id, source, n_tokens, pass, block, weight``, one row per draw.
+    """The drawn documents: ``doc_id, source, n_tokens, h, pass, block, slot, weight, alpha, entropy, reached``, one row per draw.
+
+    ``pass, block, slot`` order the draws of a source: blocks by number, documents by their place in
+    the block. ``h`` is a hash of the text. ``alpha`` is the power, ``entropy`` that of the weights, and
+    ``reached`` tells whether it is the target or more. A source's share of the tokens drawn is its
+    weight but for the last document of its part pass, for documents that are never lost and for
+    ``max_repeats``, which may keep a given budget from being met.
 
     Pass 0 to k-1 hold all documents of a source, pass k those whose permuted blocks come
     before its quota is reached. Null sources are a source of their own. Documents without
@@ -131,22 +137,28 @@ def mix(
     inside = dealt.where("before + in_block <= rest")
     running = Window.partitionBy("source", "block").orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = dealt.where("before < rest and before + in_block > rest").withColumn("upto", F.col("before") + F.sum("n_tokens").over(running)).where("upto <= rest").drop("upto")
-    part = inside.unionByName(edge).select("doc_id", "source", "n_tokens", "h", F.col("whole").alias("pass"), "block", "weight")
+    part = inside.unionByName(edge).select("doc_id", "source", "n_tokens", "h", F.col("whole").alias("pass"), "block", "o", "weight")
     full = at.where("whole > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("pass"))
-    full = full.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), order(F.col("pass"))), F.col("blocks")))
-    return full.select("doc_id", "source", "n_tokens", "h", "pass", "block", "weight").unionByName(part)
+    full = full.withColumn("o", order(F.col("pass"))).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "o"), F.col("blocks")))
+    drawn_rows = full.select("doc_id", "source", "n_tokens", "h", "pass", "block", "o", "weight").unionByName(part)
+    slot = F.row_number().over(Window.partitionBy("source", "pass", "block").orderBy("o", "doc_id")) - 1
+    reached = entropy(drawn.weights) >= target_entropy * math.log(max(1, len(drawn.weights))) - 1e-9
+    facts = [F.lit(drawn.alpha).alias("alpha"), F.lit(entropy(drawn.weights)).alias("entropy"), F.lit(reached).alias("reached")]
+    return drawn_rows.select("doc_id", "source", "n_tokens", "h", "pass", "block", slot.cast("bigint").alias("slot"), "weight", *facts)
 
 
 def realise(docs: DataFrame, draws: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, each as often as it was drawn, with the columns they came with.
+    """The rows of ``docs``, each as often as it was drawn, with the columns they came with, whatever their names and types.
 
     Draws are counted per id and text. Rows that repeat both share their draws: the whole
     passes evenly, so that none is lost.
     """
-    times = draws.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.count(F.lit(1)).alias("__times"))
-    held = docs.withColumn("__text", F.xxhash64(F.col(text_col)))
+    one, h, times, many, each, copy = (fresh(x, docs) for x in ("id_", "h_", "times_", "alike_", "each_", "copy_"))
+    drawn = draws.groupBy(F.col("doc_id").alias(one), F.col("h").alias(h)).agg(F.count(F.lit(1)).alias(times))
+    text_hash = F.xxhash64(F.col(text_col))
     key = F.col(id_col).cast("bigint")
-    alike = held.groupBy(key.alias("__id2"), F.col("__text").alias("__h2")).agg(F.count(F.lit(1)).alias("__alike"))
-    share = times.join(alike, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__h") == F.col("__h2"))).select("__id", "__h", F.ceil(F.col("__times") / F.col("__alike")).cast("int").alias("__each"))
-    out = held.join(share, key.eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__each")))).select(*docs.columns)
+    other, g = one + "_", h + "_"
+    alike = docs.groupBy(key.alias(other), text_hash.alias(g)).agg(F.count(F.lit(1)).alias(many))
+    share = drawn.join(alike, F.col(one).eqNullSafe(F.col(other)) & (F.col(h) == F.col(g))).select(one, h, F.ceil(F.col(times) / F.col(many)).cast("int").alias(each))
+    out = docs.join(share, key.eqNullSafe(F.col(one)) & (text_hash == F.col(h)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(each)))).select(*docs.columns)

@@ -7,47 +7,48 @@ minimise padding; inside each bucket documents are dealt into batches of a token
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.common import staged
 from ledgerlake.llm.mixing import token_length
 
-#: Lengths up to this are told apart; longer ones share a histogram cell of 1/64 of their size.
-EXACT_LENGTHS = 256
 #: Documents of a bucket that one task deals into batches.
 SHARD_DOCS = 20_000
 
 
-def cell_of(length: F.Column) -> F.Column:
-    """Upper end of the histogram cell of a length: at most about 64 cells a doubling, so the histogram is short."""
-    step = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 6))
-    return F.when(length <= EXACT_LENGTHS, length).otherwise((F.ceil(length / step) * step).cast("bigint"))
-
-
-def best_boundaries(cells: list[tuple[int, int, int]], buckets: int) -> list[int]:
+def best_boundaries(cells: list[tuple[int, int]], buckets: int) -> list[int]:
     """Upper ends of at most ``buckets`` buckets with the least padding.
 
-    ``cells``: (upper end, documents, tokens), ascending. Padding of a bucket is the sum over
-    its documents of its upper end less their length. Ties: fewer buckets, then lower ends.
+    ``cells``: (length, documents) of every length that occurs, ascending. Padding of a bucket is
+    the sum over its documents of its upper end less their length. The best last cut never moves
+    down as the end moves up, so each round halves ranges of ends and of cuts: n log n steps. Ties:
+    fewer buckets, then lower ends.
     """
     if not cells:
         return []
-    ends, counts, tokens = (np.array(x, np.float64) for x in zip(*cells))
+    ends, counts = (np.array(x, np.float64) for x in zip(*cells))
     n = np.concatenate([[0.0], np.cumsum(counts)])
-    t = np.concatenate([[0.0], np.cumsum(tokens)])
+    t = np.concatenate([[0.0], np.cumsum(counts * ends)])
     size = len(ends)
     best = ends * n[1:] - t[1:]
-    back = [np.full(size, -1)]
-    totals = [best[-1]]
+    back, totals = [np.full(size, -1)], [best[-1]]
     for _ in range(1, min(buckets, size)):
-        new, came = best.copy(), np.full(size, -2)
-        for j in range(1, size):
-            cost = best[:j] + ends[j] * (n[j + 1] - n[1 : j + 1]) - (t[j + 1] - t[1 : j + 1])
-            i = int(np.argmin(cost))
-            if cost[i] < new[j]:
-                new[j], came[j] = cost[i], i
-        best = new
-        back.append(came)
+        cost, cut = np.full(size, np.inf), np.zeros(size, np.int64)
+        ranges = [(1, size - 1, 0, size - 2)]
+        while ranges:
+            low, high, first, last = ranges.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            stop = min(j - 1, last) + 1
+            each = best[first:stop] + ends[j] * (n[j + 1] - n[first + 1 : stop + 1]) - (t[j + 1] - t[first + 1 : stop + 1])
+            i = int(np.argmin(each))
+            cost[j], cut[j] = each[i], first + i
+            ranges += [(low, j - 1, first, first + i), (j + 1, high, first + i, last)]
+        gain = cost < best
+        back.append(np.where(gain, cut, -2))
+        best = np.where(gain, cost, best)
         totals.append(best[-1])
     level, j, out = int(np.argmin(totals)), size - 1, []
     while j >= 0:
@@ -59,19 +60,21 @@ def best_boundaries(cells: list[tuple[int, int, int]], buckets: int) -> list[int
     return out[::-1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16, token_budget: int = 65_536) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16, token_budget: int = 65_536, tokens: Column | None = None) -> DataFrame:
     """``doc_id, n_tokens, bucket, bucket_tokens, batch_id, slot, padding`` for every row.
 
     A batch holds as many documents as fit its budget when each is padded to the bucket's upper
     end, one at least: a document longer than the budget is a batch of its own. Null and empty
-    texts have length 0 and go to the shortest bucket. Null ids and repeated rows take slots
+    texts have length 0 and go to the shortest bucket. ``tokens`` may give lengths, as from ``token_counts``;
+    else words count. Null ids and repeated rows take slots
     of their own; other columns are ignored. An empty table gives no rows.
     """
-    lengths = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), token_length(text_col).alias("n_tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("o"))
-    cells = lengths.groupBy(cell_of(F.col("n_tokens")).alias("cell")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("top")).collect()
-    cells = sorted((r["top"], r["docs"], r["tokens"]) for r in cells)
+    length = token_length(text_col) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("bigint")
+    lengths = staged(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), length.alias("n_tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("o")), "lengths")
+    # The histogram of all lengths: a row for each length that occurs, however many documents there are.
+    cells = sorted((r["n_tokens"], r["docs"]) for r in lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")).collect())
     ends = best_boundaries(cells, buckets)
-    held = [sum(n for top, n, _ in cells if low < top <= high) for low, high in zip([-1, *ends], ends)]
+    held = [sum(n for top, n in cells if low < top <= high) for low, high in zip([-1, *ends], ends)]
     spark = docs.sparkSession
     table = F.array(*[F.struct(F.lit(i).alias("bucket"), F.lit(e).cast("bigint").alias("end"), F.lit(max(1, -(-h // SHARD_DOCS))).cast("bigint").alias("shards")) for i, (e, h) in enumerate(zip(ends, held))]) if ends else None
     if table is None:

@@ -189,7 +189,8 @@ def shared_windows(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str
     ``marks``: ``h, doc_id, start`` of the anchors. A window that two documents share holds an
     anchor of the same hash in both, so none is left out.
     """
-    met = marks.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
+    # Tables of their own, here and below, so that the joins with them are such as Spark splits where many rows share a hash.
+    met = staged(marks.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"), "met")
     asked = staged(marks.join(met, "h").groupBy("doc_id").agg(F.collect_set("start").alias("at")), "shared-anchors")
     texts = texts_of(docs, asked.select("doc_id"), id_col, text_col).join(asked, "doc_id").select("doc_id", "text", "at")
     before = min_words - anchor_width(min_words)
@@ -209,7 +210,7 @@ def shared_windows(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(hs).view(np.int64))], ["doc_id", "start", "h"])
 
     out = staged(texts.mapInArrow(run, "doc_id bigint, start int, h bigint"), "windows")
-    discard(asked)
+    discard(met, asked)
     return out
 
 
@@ -265,10 +266,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = staged(lines.join(classes, "h").where("doc_id <> keeper").select("doc_id", "start", "words", "keeper"), "repeated")
     wholes = named.where(f"kind = {DOC} and words >= {min_words}").select("doc_id", "h", "words")
     firsts = wholes.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("h", "keeper")
-    copies = staged(wholes.join(firsts, "h").where("doc_id <> keeper"), "copies")
+    copies = staged(wholes.join(staged(firsts, "firsts"), "h").where("doc_id <> keeper"), "copies")
     marks = free_anchors(named, copies.select("doc_id", "h"), repeated.where(f"words >= {min_words}"), min_words)
     windows = shared_windows(docs, marks, id_col, text_col, min_words)
-    firsts = windows.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("h", "keeper")
+    firsts = staged(windows.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("h", "keeper"), "firsts")
     lost = windows.join(firsts, "h").where("doc_id <> keeper").select("doc_id", "start", F.lit(min_words).alias("words"), "keeper")
     spans = repeated.unionByName(copies.select("doc_id", F.lit(0).alias("start"), "words", "keeper")).unionByName(lost)
     long = F.col("words") >= min_words
@@ -282,7 +283,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("short", F.array().cast("array<array<bigint>>")).alias("short"),
     )
     result = staged(out, "repeats")
-    discard(found, classes, repeated, copies, marks, windows, removed)
+    discard(found, classes, repeated, copies, marks, windows, firsts, removed)
     return result
 
 

@@ -68,6 +68,36 @@ def test_language_id(spark):
     assert langid.identify(df.where("false"), df).count() == 0
 
 
+def test_model_equals_plain_kernel_ridge():
+    """Scores from sets of n-grams and kernel matrices written out."""
+    rng = random.Random(8)
+    texts = [(prose(rng, rng.randrange(2, 40), lang).encode(), lang) for lang in ["en", "fr", "de"] * 50] + [(b"x", "fr"), (b"x", "en")]
+    langs = [lang for _, lang in texts]
+    model = langid.fit(langs, [np.packbits(f).tobytes() for f in langid.presence([t for t, _ in texts])])
+    grams = lambda t: set(langid.present(t).tolist())
+    kernel = lambda a, b: len(a & b) / math.sqrt(max(1, len(a)) * max(1, len(b)))
+    names = sorted(set(langs))
+    marks = [grams(t) for name in names for t in [t for t, lang in texts if lang == name][: langid.LANDMARKS // 3]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    keep = values > 1e-8 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    rows = lambda ts: np.hstack([np.array([[kernel(grams(t), m) for m in marks] for t in ts]) @ root, np.ones((len(ts), 1))])
+    z = rows([t for t, _ in texts])
+    weight = np.array([len(langs) / (3 * langs.count(x)) for x in langs])[:, None]
+    ridge = langid.RIDGE * len(langs) * np.eye(z.shape[1])
+    ridge[-1, -1] = 0
+    w = np.linalg.solve(z.T @ (weight * z) + ridge, z.T @ (weight * np.array([[1.0 if x == n else -1.0 for n in names] for x in langs])))
+    fresh = [prose(rng, n, "de").encode() for n in (1, 5, 200)] + [b"", "ß é".encode()]
+    assert np.abs(langid.score(model, fresh) - rows(fresh) @ w).max() < 0.02
+
+
+def test_many_languages_are_learned(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" * 9 + " " + "xyz"[i % 3], f"l{i}") for i in range(300)]
+    df = spark.createDataFrame(rows * 2, "doc_id bigint, text string, lang string")
+    langs, _ = langid.training_sample(df, "doc_id", "text", "lang", 150)
+    assert set(langs) == {f"l{i}" for i in range(300)}
+
+
 def test_presence_counts_each_gram_once():
     flags = [f.copy() for f in langid.presence([b"ab", b"ab ab  AB", b""])]
     assert flags[0].sum() == 3 and flags[2].sum() == 0
@@ -247,15 +277,19 @@ def test_own_words_of_a_mostly_shared_document_stay(spark):
 def test_boundaries_are_optimal(seed):
     rng = random.Random(seed)
     cells = sorted((n, rng.randrange(1, 9)) for n in rng.sample(range(1, 60), 9))
-    cells = [(n, c, n * c) for n, c in cells]
 
-    def padding(ends):
-        return sum(min(e for e in ends if e >= n) * c - t for n, c, t in cells)
+    def padding(cells, ends):
+        return sum((min(e for e in ends if e >= n) - n) * c for n, c in cells)
 
     for k in (1, 2, 3, 4, 9, 20):
-        best = min(padding([*inner, cells[-1][0]]) for size in range(min(k, len(cells))) for inner in itertools.combinations([n for n, _, _ in cells[:-1]], size))
+        best = min(padding(cells, [*inner, cells[-1][0]]) for size in range(min(k, len(cells))) for inner in itertools.combinations([n for n, _ in cells[:-1]], size))
         ends = packing.best_boundaries(cells, k)
-        assert len(ends) <= k and padding(ends) == best
+        assert len(ends) <= k and padding(cells, ends) == best
+    cells = sorted((n, rng.choice([1, 1, 5, 1000])) for n in rng.sample(range(0, 5000), 150))
+    table = [[sum((cells[j][0] - n) * c for n, c in cells[: j + 1]) for j in range(150)]]
+    for _ in range(5):
+        table.append([min([table[-1][j], *(table[-1][i] + sum((cells[j][0] - n) * c for n, c in cells[i + 1 : j + 1]) for i in range(j))]) for j in range(150)])
+    assert padding(cells, packing.best_boundaries(cells, 6)) == table[-1][-1]
 
 
 def test_packing(spark):
@@ -271,6 +305,9 @@ def test_packing(spark):
         assert len({r["bucket"] for r in rows}) == 1 and sorted(r["slot"] for r in rows) == list(range(len(rows)))
         assert len(rows) == 1 or len(rows) * max(1, rows[0]["bucket_tokens"]) <= 400
     assert packing.pack(docs(spark, texts).where("false")).count() == 0
+    odd = spark.createDataFrame([(None, "a b", 1), (None, "a b", 1), (3, None, 7), (3, "c", 4)], "doc_id bigint, text string, bucket int")
+    assert sorted(((r["doc_id"], r["n_tokens"], r["bucket_tokens"]) for r in packing.pack(odd, buckets=1).collect()), key=str) == [(3, 0, 2), (3, 1, 2), (None, 2, 2), (None, 2, 2)]
+    assert sorted(r["n_tokens"] for r in packing.pack(odd, tokens=F.col("bucket")).collect()) == [1, 1, 4, 7]
 
 
 # --- 4 -------------------------------------------------------------------------------------
@@ -417,6 +454,32 @@ def test_mixing_plan():
     assert mixing.plan({}).quotas == {} and mixing.plan({"a": 0}).quotas == {"a": 0}
 
 
+def check_draws(spark, df, plan, got):
+    """The draws anew, from nothing but the hashes that order them: whole passes, then blocks up to the quota."""
+    own = {s: list(rows) for s, rows in itertools.groupby(sorted(df.collect(), key=lambda r: str(r["source"])), key=lambda r: r["source"])}
+    want = []
+    for source, rows in own.items():
+        length = [len((r["text"] or "").split()) for r in rows]
+        total, quota = sum(length), plan.quotas[source]
+        whole = quota // total if total else 1
+        for number in range(whole + 1):
+            frame = spark.createDataFrame([(i, r["doc_id"], r["text"]) for i, r in enumerate(rows)], "i int, doc_id bigint, text string").withColumn("h", F.xxhash64("text"))
+            o = F.xxhash64(F.lit(0), F.lit(number).cast("bigint"), "doc_id", "h")
+            keyed = frame.select("i", o.alias("o"), F.pmod(F.xxhash64(F.lit(1), o), F.lit(max(1, len(rows) // mixing.BLOCK_DOCS)).cast("bigint")).alias("b")).collect()
+            left = total if number < whole else quota - whole * total if total else 0
+            if number == whole and not left:
+                continue
+            for _, members in itertools.groupby(sorted(keyed, key=lambda k: (k["b"], k["o"])), key=lambda k: k["b"]):
+                for slot, k in enumerate(members):
+                    left -= length[k["i"]]
+                    if left < 0 and number == whole:
+                        break
+                    want.append((rows[k["i"]]["doc_id"], source, number, k["b"], slot))
+                if left < 0 and number == whole:
+                    break
+    assert collections.Counter(want) == collections.Counter((r["doc_id"], r["source"], r["pass"], r["block"], r["slot"]) for r in got)
+
+
 def test_mixing_draws(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_DOCS", 16)
     rng = random.Random(10)
@@ -434,7 +497,9 @@ def test_mixing_draws(spark, monkeypatch):
     for s, q in plan.quotas.items():
         assert q - 30 < spent[s] <= q, s
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
-    held = mixing.realise(df.withColumn("__note", F.lit(1)), draws).collect()
+    assert all(r["reached"] == (r["entropy"] >= 0.98 * math.log(len(plan.weights)) - 1e-9) and r["alpha"] == plan.alpha for r in got)
+    check_draws(spark, df, plan, got)
+    held = mixing.realise(df.withColumns({"h_": F.lit(1), "id_": F.lit(2), "m": F.create_map(F.lit("a"), F.lit(1))}), draws).collect()
     assert {(r["doc_id"], r["text"]) for r in held} == {(i, t) for i, t, _ in rows}
     assert abs(len(held) - len(got)) <= 1
     assert mixing.mix(df.where("false")).count() == 0
