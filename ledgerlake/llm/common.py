@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 128
 #: Rows of a table of a few integers up to which it is broadcast (16 to 40 bytes each).
 BROADCAST_ROWS = 500_000
+#: Seconds from one collection of the driver's garbage to the next, at least.
+COLLECT_SECONDS = 4.0
+_collected = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,16 +64,19 @@ def staged(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
 
     Python functions in ``df`` get batches of at most ``rows``. What was shuffled for the table is
     garbage from now on; Spark deletes shuffle files only when the driver collects its
-    garbage, so that is asked for here, or the files of all steps would add up.
+    garbage, so that is asked for here now and then, or the files of all steps would add up.
     """
+    global _collected
     spark = df.sparkSession
     path = new_path(spark, name)
     with batches_of(spark, rows):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
-    gc.collect()
-    spark._jvm.System.gc()
+    if time.monotonic() - _collected > COLLECT_SECONDS:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
     return out
 
 
