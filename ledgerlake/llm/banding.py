@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import connected_components, discard, staged
+from ledgerlake.llm.common import connected_components, discard, maybe_broadcast, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
 RECALL = 0.999
@@ -192,11 +192,11 @@ def band_classes(uniq: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], s
     """
     keyed = uniq.select("h", "words", F.explode("bands").alias("key"))
     shared = staged(keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key"), "shared-bands")
-    members = staged(keyed.join(shared, "key").select("key", "h", "words"), "members")
+    members = staged(keyed.join(maybe_broadcast(shared, 8), "key").select("key", "h", "words"), "members")
     # Bands that gather the same texts are one bucket.
     facts = members.groupBy("key").agg(F.min("h").alias("lo"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(h)").alias("all"), F.expr("bit_xor(xxhash64(h))").alias("all2"))
     buckets = staged(facts.groupBy("lo", "n", "all", "all2").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
-    sized = staged(members.join(buckets, "key").select("key", "h", "words", "n"), "members")
+    sized = staged(members.join(maybe_broadcast(buckets), "key").select("key", "h", "words", "n"), "members")
     asked = staged(sized.select("h").distinct(), "asked")
     bodies = staged(bodies_of(asked), "bodies")
     if bodies.count() > asked.count():  # rows that repeat an id and a text
@@ -204,12 +204,12 @@ def band_classes(uniq: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], s
     discard(shared, members, buckets, asked)
     # The member that meets most others is the likeliest to be what the rest was copied from.
     weights = sized.groupBy("h").agg(F.sum("n").alias("met"))
-    centres = sized.join(weights, "h").groupBy("key").agg(F.max(F.struct("met", "h")).alias("c")).select("key", F.col("c.h").alias("a"))
-    pairs = staged(sized.join(centres, "key").where("h <> a").select("a", F.col("h").alias("b")).distinct(), "pairs")
+    centres = staged(sized.join(weights, "h").groupBy("key").agg(F.max(F.struct("met", "h")).alias("c")).select("key", F.col("c.h").alias("a")), "centres")
+    pairs = staged(sized.join(maybe_broadcast(centres), "key").where("h <> a").select("a", F.col("h").alias("b")).distinct(), "pairs")
     stars = verified(pairs, bodies, similarity)
-    discard(pairs)
+    discard(centres, pairs)
     comps = staged(connected_components(stars), "comps")
-    classed = staged(sized.join(comps.withColumnRenamed("node", "h"), "h", "left").select("key", "h", "words", F.coalesce("root", "h").alias("root")), "classed")
+    classed = staged(sized.join(maybe_broadcast(comps.withColumnRenamed("node", "h")), "h", "left").select("key", "h", "words", F.coalesce("root", "h").alias("root")), "classed")
     more = block_links(classed, bodies, similarity)
     out = comps if more.isEmpty() else staged(connected_components(stars.unionByName(more)), "comps")
     discard(sized, bodies, stars, classed, more, *([comps] if out is not comps else []))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch handed to Python: whole texts can be long, so batches stay small.
 BATCH_ROWS = 128
-#: Rows of a table of a few integers up to which it is broadcast (16 to 40 bytes each).
-BROADCAST_ROWS = 500_000
+#: Bytes of a table, as rows of integers, up to which it is broadcast.
+BROADCAST_BYTES = 8_000_000
 #: Seconds from one collection of the driver's garbage to the next, at least.
 COLLECT_SECONDS = 4.0
 _collected = 0.0
@@ -90,9 +90,9 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a staged table of a few integers a row if it is short; else leave it to a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def maybe_broadcast(df: DataFrame, row_bytes: int = 16, rows: int | None = None) -> DataFrame:
+    """Broadcast a staged table of integers if it is short; else leave it to a shuffle. ``rows``: their number, if known."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) * row_bytes <= BROADCAST_BYTES else df
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.banding import SHINGLE, SIMILARITY, band_classes, runs, signatures, tune_bands, word_hashes
-from ledgerlake.llm.common import BROADCAST_ROWS, discard, fresh, staged
+from ledgerlake.llm.common import BROADCAST_BYTES, discard, fresh, maybe_broadcast, staged
 
 #: Words of a repeat that is removed: a little under fifty, so that ends that were edited or run together do not save a passage of over fifty.
 MIN_WORDS = 45
@@ -114,12 +114,18 @@ def scan(docs: DataFrame, id_col: str, text_col: str, min_words: int, bands: int
 def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text`` of the documents that ``ids`` (a staged table) names, and no others if it is short."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_ROWS else texts
+    return texts.join(F.broadcast(ids), "doc_id", "left_semi") if 8 * ids.count() <= BROADCAST_BYTES else texts
+
+
+def entries(lists: DataFrame, column: str) -> int:
+    """Elements of all arrays of a column together."""
+    return lists.agg(F.sum(F.size(column))).first()[0] or 0
 
 
 def line_bodies(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``h, body`` of the paragraphs ``wanted`` (``doc_id, hs``, staged): their words, single-spaced."""
-    asked = texts_of(docs, wanted.select("doc_id"), id_col, text_col).join(wanted, "doc_id").select("text", "hs")
+    lists = maybe_broadcast(wanted, rows=entries(wanted, "hs"))  # at least one a document
+    asked = texts_of(docs, wanted.select("doc_id"), id_col, text_col).join(lists, "doc_id").select("text", "hs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,13 +151,15 @@ def paragraph_classes(docs: DataFrame, lines: DataFrame, id_col: str, text_col:
     uniq = staged(lines.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("words").alias("words"), F.first("keys").alias("bands")), "uniq")
 
     def bodies_of(asked: DataFrame) -> DataFrame:
-        wanted = staged(asked.join(uniq.select("h", "least"), "h").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list("h").alias("hs")), "wanted")
+        wanted = staged(uniq.select("h", "least").join(maybe_broadcast(asked, 8), "h").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list("h").alias("hs")), "wanted")
         return line_bodies(docs, wanted, id_col, text_col)
 
     comps = band_classes(uniq.select("h", "words", "bands"), bodies_of, similarity)
-    rooted = uniq.join(comps.withColumnRenamed("node", "h"), "h", "left").select("h", "least", "most", F.coalesce("root", "h").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min("least").alias("keeper"), F.max("most").alias("last")).where("keeper < last").select("root", "keeper")
-    out = staged(rooted.join(classes, "root").select("h", "keeper"), "classes")
+    roots = maybe_broadcast(comps.withColumnRenamed("node", "h"))
+    alone = uniq.where("least < most").join(roots, "h", "left_anti").select("h", F.col("least").alias("keeper"))
+    linked = uniq.select("h", "least", "most").join(roots, "h")
+    classes = linked.groupBy("root").agg(F.min("least").alias("keeper"), F.max("most").alias("last")).where("keeper < last").select("root", "keeper")
+    out = staged(alone.unionByName(linked.join(classes, "root").select("h", "keeper")), "classes")
     discard(uniq, comps)
     return out
 
@@ -162,8 +170,9 @@ def free_anchors(found: DataFrame, copies: DataFrame, lines: DataFrame, min_word
     Left out are those of whole ``copies`` (``doc_id, h``), which the first holder has also, and
     those inside a removed paragraph (``doc_id, start, words``): what goes cannot keep anything.
     """
-    marked = found.where(f"kind = {DOC} and size(at) > 0").select("doc_id", "h", "at", "keys").join(copies, ["doc_id", "h"], "left_anti")
-    gone = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("gone"))
+    marked = found.where(f"kind = {DOC} and size(at) > 0").select("doc_id", "h", "at", "keys").join(maybe_broadcast(copies), ["doc_id", "h"], "left_anti")
+    gone = staged(lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("gone")), "gone")
+    gone = maybe_broadcast(gone, rows=entries(gone, "gone"))
     width = anchor_width(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +200,9 @@ def shared_windows(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str
     """
     # Tables of their own, here and below, so that the joins with them are such as Spark splits where many rows share a hash.
     met = staged(marks.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"), "met")
-    asked = staged(marks.join(met, "h").groupBy("doc_id").agg(F.collect_set("start").alias("at")), "shared-anchors")
-    texts = texts_of(docs, asked.select("doc_id"), id_col, text_col).join(asked, "doc_id").select("doc_id", "text", "at")
+    asked = staged(marks.join(maybe_broadcast(met, 8), "h").groupBy("doc_id").agg(F.collect_set("start").alias("at")), "shared-anchors")
+    lists = maybe_broadcast(asked, rows=asked.count() + entries(asked, "at") // 4)  # of four bytes each
+    texts = texts_of(docs, asked.select("doc_id"), id_col, text_col).join(lists, "doc_id").select("doc_id", "text", "at")
     before = min_words - anchor_width(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,14 +273,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = found.where("doc_id is not null")
     lines = named.where(f"kind = {LINE}")
     classes = paragraph_classes(docs, lines, id_col, text_col, similarity)
-    repeated = staged(lines.join(classes, "h").where("doc_id <> keeper").select("doc_id", "start", "words", "keeper"), "repeated")
+    repeated = staged(lines.join(maybe_broadcast(classes), "h").where("doc_id <> keeper").select("doc_id", "start", "words", "keeper"), "repeated")
     wholes = named.where(f"kind = {DOC} and words >= {min_words}").select("doc_id", "h", "words")
     firsts = wholes.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("h", "keeper")
-    copies = staged(wholes.join(staged(firsts, "firsts"), "h").where("doc_id <> keeper"), "copies")
+    copies = staged(wholes.join(maybe_broadcast(staged(firsts, "firsts")), "h").where("doc_id <> keeper"), "copies")
     marks = free_anchors(named, copies.select("doc_id", "h"), repeated.where(f"words >= {min_words}"), min_words)
     windows = shared_windows(docs, marks, id_col, text_col, min_words)
     firsts = staged(windows.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("h", "keeper"), "firsts")
-    lost = windows.join(firsts, "h").where("doc_id <> keeper").select("doc_id", "start", F.lit(min_words).alias("words"), "keeper")
+    lost = windows.join(maybe_broadcast(firsts), "h").where("doc_id <> keeper").select("doc_id", "start", F.lit(min_words).alias("words"), "keeper")
     spans = repeated.unionByName(copies.select("doc_id", F.lit(0).alias("start"), "words", "keeper")).unionByName(lost)
     long = F.col("words") >= min_words
     grouped = spans.groupBy("doc_id").agg(
@@ -300,8 +310,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     changed = found.where("n_removed > 0").groupBy(F.col("doc_id").alias(key)).agg(least).select(key, (F.col("x.n_removed") >= F.col("x.n_words")).alias(gone), F.col("x.removed").alias(spans))
     changed = staged(changed, "changed")
     discard(found)
-    if (changed.agg(F.sum(F.size(spans))).first()[0] or 0) <= BROADCAST_ROWS:
-        changed = F.broadcast(changed)
+    changed = maybe_broadcast(changed, rows=changed.count() + entries(changed, spans))
     joined = docs.join(changed, F.col(id_col).cast("bigint") == F.col(key), "left").where(F.col(gone).isNull() | ~F.col(gone))
     text, ranges = F.col(text_col), F.col(spans)
     pieces = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
