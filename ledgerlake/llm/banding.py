@@ -150,8 +150,8 @@ def verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFram
 def block_links(classed: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
     """Links ``a, b`` that join what is apart inside a bucket; ``classed``: ``key, h, words, root``. A staged table.
 
-    Members outside the bucket's largest component are compared with each other and with those
-    inside it, block by block; pairs inside that component are joined already.
+    Members that their bucket's star does not link (each a root of its own) are compared with each
+    other and with those that it links, block by block; pairs among the latter are joined already.
     """
     parts = classed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("t"))
     most = F.max(F.struct("n", "t", "root")).alias("top")
@@ -207,10 +207,11 @@ def band_classes(uniq: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], s
     centres = staged(sized.join(weights, "h").groupBy("key").agg(F.max(F.struct("met", "h")).alias("c")).select("key", F.col("c.h").alias("a")), "centres")
     pairs = staged(sized.join(maybe_broadcast(centres), "key").where("h <> a").select("a", F.col("h").alias("b")).distinct(), "pairs")
     stars = verified(pairs, bodies, similarity)
-    discard(centres, pairs)
-    comps = staged(connected_components(stars), "comps")
-    classed = staged(sized.join(maybe_broadcast(comps.withColumnRenamed("node", "h")), "h", "left").select("key", "h", "words", F.coalesce("root", "h").alias("root")), "classed")
+    discard(pairs)
+    met = stars.select("a", F.col("b").alias("h"), F.lit(True).alias("linked"))
+    rooted = sized.join(maybe_broadcast(centres), "key").join(maybe_broadcast(met), ["a", "h"], "left")
+    classed = staged(rooted.select("key", "h", "words", F.when(F.col("linked"), F.col("a")).otherwise(F.col("h")).alias("root")), "classed")
     more = block_links(classed, bodies, similarity)
-    out = comps if more.isEmpty() else staged(connected_components(stars.unionByName(more)), "comps")
-    discard(sized, bodies, stars, classed, more, *([comps] if out is not comps else []))
+    out = staged(connected_components(stars.unionByName(more)), "comps")
+    discard(centres, sized, bodies, stars, classed, more)
     return out

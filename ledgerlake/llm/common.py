@@ -117,7 +117,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = cut.select("u", "v").unionByName(cut.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -125,9 +125,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         new = staged(small, "edges")
-        parents = new.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        chained = new.join(new.select(F.col("u").alias("v")), "v", "left_semi")
-        done = parents.where("n > 1").limit(1).count() == 0 and chained.limit(1).count() == 0
+        # Done if every node has one parent at most and no parent has one.
+        ends = new.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(new.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        done = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
         discard(cut)
         cut = new
         if done:
