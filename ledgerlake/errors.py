@@ -15,6 +15,8 @@ InvalidOptionError = _kind("InvalidOptionError", "invalid_option")
 EmptyFlushError = _kind("EmptyFlushError", "empty_flush")
 FlushFailedError = _kind("FlushFailedError", "flush_failed")
 CancelledError = _kind("CancelledError", "cancelled")
+ReadOnlyError = _kind("ReadOnlyError", "read_only")
+FencedError = _kind("FencedError", "fenced")
 
 CodecError = _kind("CodecError", "corrupt")
 CorruptKeyError = _kind("CorruptKeyError", "corrupt_key", CodecError)

@@ -5,7 +5,13 @@ Spark reaches will do. A commit is: data first, then the manifest row that names
 swap of the pointer. Readers resolve the pointer once and see that version only.
 
 Unlike an engine that replays its whole log on every open, operations that durable runs hold
-are not replayed: the log is read from the last flushed sequence number on.
+are not replayed: the log is a folder of segments, named by their first sequence number, and those
+that a committed run holds are deleted.
+
+One writer at a time: a store that is opened for writing puts its name into WRITER. One that was
+open before finds another name there, and its next append or commit raises FencedError instead
+of touching what is no longer its own; so the new writer may delete runs that no manifest names.
+Stores opened with ``read_only`` neither fence nor delete anything, and see what is committed.
 """
 
 from __future__ import annotations
@@ -44,14 +50,28 @@ class Options:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, options: Options = Options(), hook: Callable[[str], None] | None = None):
-        self.spark, self.path, self.options = spark, path.rstrip("/"), options
+    def __init__(self, spark: SparkSession, path: str, options: Options = Options(), hook: Callable[[str], None] | None = None, read_only: bool = False):
+        self.spark, self.path, self.options, self.read_only = spark, path.rstrip("/"), options, read_only
+        self._name, self._snapshots = uuid.uuid4().hex, []
         self._hook = hook or (lambda point: None)
         self._closed, self._failure = False, None
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        if not self._exists("CURRENT"):
+        if not read_only:
             self._fs.mkdirs(self._at(""))
+            self._replace("WRITER", self._name)
+        if not self._exists("CURRENT") and not read_only:
             self._commit([], 0, 1)
+        self._resolve()
+        absent = [r["file_id"] for r in self.live().select("file_id").collect() if not self._exists(f"runs/{r['file_id']:020d}.sst")]
+        if absent:
+            raise E.MissingFileError(f"runs {absent[:5]}")
+        if not read_only:
+            self._remove_orphans()
+            self._trim()
+        self.seqno = self.memtable().agg(F.max("seqno")).first()[0] or self.flushed
+
+    def _resolve(self) -> None:
+        """Counters of the version that the pointer names."""
         name = self._current()
         if not self._exists(name):
             raise E.MissingFileError(name)
@@ -59,11 +79,6 @@ class Store:
         if state["n"] is None:
             raise E.CorruptManifestError("no next file id")
         self._next_file, self.flushed = state["n"], state["s"] or 0
-        absent = [r["file_id"] for r in self.live().select("file_id").collect() if not self._exists(f"runs/{r['file_id']:020d}.sst")]
-        if absent:
-            raise E.MissingFileError(f"runs {absent[:5]}")
-        self._remove_orphans()
-        self.seqno = self.memtable().agg(F.max("seqno")).first()[0] or self.flushed
 
     # --- files ---------------------------------------------------------------------------
 
@@ -78,9 +93,16 @@ class Store:
             raise E.NoPointerError(self.path)
         return manifest.check_pointer_name(self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0])
 
-    def _swap(self, name: str) -> None:
-        """Point at a manifest: a new file renamed over the old one."""
-        temporary = self._at(f"CURRENT-{uuid.uuid4().hex}")
+    def _owned(self) -> None:
+        """Raises unless this store is the last one that was opened for writing."""
+        if self.read_only:
+            raise E.ReadOnlyError(self.path)
+        if self.spark.read.text(f"{self.path}/WRITER", wholetext=True).first()[0].strip() != self._name:
+            raise E.FencedError("another writer has opened the store")
+
+    def _replace(self, target: str, name: str) -> None:
+        """A file with one name in it, renamed over the old one."""
+        temporary = self._at(f"{target}-{uuid.uuid4().hex}")
         out = self._fs.create(temporary)
         out.write(bytearray((name + "\n").encode()))
         out.close()
@@ -88,7 +110,7 @@ class Store:
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         kinds = self.spark.sparkContext._gateway.new_array(options, 1)
         kinds[0] = options.OVERWRITE
-        context.rename(self._fs.makeQualified(temporary), self._fs.makeQualified(self._at("CURRENT")), kinds)
+        context.rename(self._fs.makeQualified(temporary), self._fs.makeQualified(self._at(target)), kinds)
 
     def _commit(self, rows: list[tuple], sequence: int, next_file: int) -> None:
         """Write a manifest with one more edit and point at it."""
@@ -98,7 +120,8 @@ class Store:
         name = f"{manifest.manifest_name(number)}-{uuid.uuid4().hex}"
         old.unionByName(new).coalesce(1).write.parquet(f"{self.path}/{name}")
         self._hook("edit_written")
-        self._swap(name)
+        self._owned()
+        self._replace("CURRENT", name)
         self._hook("pointer_swapped")
 
     def _remove_orphans(self) -> None:
@@ -127,11 +150,29 @@ class Store:
         deleted = e.where("deleted is not null").select("edit_idx", F.explode("deleted").alias("file_id")).withColumn("level", F.lit(0))
         return manifest.live_files(added, deleted, upto)
 
+    def segments(self) -> list[tuple[int, str]]:
+        """First sequence number and folder of the log's complete segments."""
+        if not self._exists("log"):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._at("log"))]
+        return sorted((int(n[:20]), n) for n in names if n[:20].isdigit() and self._exists(f"log/{n}/_SUCCESS"))
+
+    def _trim(self) -> None:
+        """Delete segments whose operations a committed run holds; micro-batches among them stay marked as done."""
+        for first, name in self.segments():
+            if first <= self.flushed:
+                if "-b" in name:
+                    self._mark(int(name.split("-b")[1]))
+                self._fs.delete(self._at(f"log/{name}"), True)
+
     def memtable(self) -> DataFrame:
         """Operations that no durable run holds yet; they outrank every run."""
-        if not self._exists("log"):
+        if self.read_only:
+            self._resolve()
+        held = [f"{self.path}/log/{name}" for first, name in self.segments() if first > self.flushed]
+        if not held:
             return self.spark.createDataFrame([], LOG)
-        log = self.spark.read.schema("user_key binary, seqno bigint, kind int, value binary").parquet(f"{self.path}/log")
+        log = self.spark.read.schema("user_key binary, seqno bigint, kind int, value binary").parquet(*held)
         return log.where(F.col("seqno") > self.flushed).withColumn("source_rank", F.lit(2**62))
 
     def versions(self, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
@@ -162,11 +203,7 @@ class Store:
 
     def write(self, ops: list[tuple[int, bytes, bytes | None]] | None, cancelled: bool = False) -> int:
         """One atomic batch; returns the last sequence number. Nothing to do takes none."""
-        self._open()
-        if self._failure:
-            raise E.FlushFailedError(str(self._failure))
-        if cancelled:
-            raise E.CancelledError("before the append")
+        self._ready(cancelled)
         if not ops:
             return self.seqno
         if any(t not in (S.PUT, S.DELETE) for t, _, _ in ops):
@@ -174,27 +211,55 @@ class Store:
         rows = [(bytearray(k), self.seqno + i + 1, t, bytearray(v or b"") if t == S.PUT else None) for i, (t, k, v) in enumerate(ops)]
         return self._append(self.spark.createDataFrame(rows, "user_key binary, seqno bigint, kind int, value binary").coalesce(1), len(rows))
 
-    def ingest(self, batches: DataFrame) -> int:
-        """A whole frame ``batch_id, ops`` as one append; operations are numbered in order."""
+    def _ready(self, cancelled: bool = False) -> None:
+        """What must hold before any write, in this order."""
         self._open()
+        if self.read_only:
+            raise E.ReadOnlyError(self.path)
+        if self._failure:
+            raise E.FlushFailedError(str(self._failure))
+        if cancelled:
+            raise E.CancelledError("before the append")
+
+    def ingest(self, batches: DataFrame, micro_batch: int | None = None, cancelled: bool = False) -> int:
+        """A whole frame ``batch_id, ops`` as one append; operations are numbered in order.
+
+        A ``micro_batch`` number that was appended before is skipped, also if the store was
+        stopped right after the append: the number is part of the segment's name.
+        """
+        self._ready(cancelled)
+        if micro_batch is not None and (self._exists(f"stream-commits/{micro_batch:020d}") or any(n.endswith(f"-b{micro_batch}") for _, n in self.segments())):
+            return self.seqno
+        known = lambda op: op["op_type"].isNotNull() & op["op_type"].isin(S.PUT, S.DELETE)
+        facts = batches.select(F.sum(F.size("ops")).alias("n"), F.max(~F.forall("ops", known)).alias("bad")).first()
+        if facts["bad"]:
+            raise E.UnknownOpError("kind")
         log = changelog.explode_batches(batches, self.seqno).select("user_key", "seqno", "kind", "value")
-        return self._append(log, batches.select(F.sum(F.size("ops"))).first()[0] or 0)
+        return self._append(log, facts["n"] or 0, micro_batch)
 
-    def _append(self, log: DataFrame, count: int) -> int:
+    def _mark(self, micro_batch: int) -> None:
+        self._fs.mkdirs(self._at("stream-commits"))
+        self._fs.create(self._at(f"stream-commits/{micro_batch:020d}")).close()
+
+    def _append(self, log: DataFrame, count: int, micro_batch: int | None = None) -> int:
         if count:
-            log.write.mode("append").parquet(f"{self.path}/log")
+            self._owned()
+            log.write.parquet(f"{self.path}/log/{self.seqno + 1:020d}-{uuid.uuid4().hex}" + ("" if micro_batch is None else f"-b{micro_batch}"))
             self._hook("log_appended")
             self.seqno += count
-            if self.options.flush_bytes:
-                used = self.memtable().agg(F.sum(runs.memtable_entry())).first()[0] or 0
-                if used >= self.options.flush_bytes:
-                    self.flush()
+        if micro_batch is not None:
+            self._mark(micro_batch)
+        if count and self.options.flush_bytes:
+            used = self.memtable().agg(F.sum(runs.memtable_entry())).first()[0] or 0
+            if used >= self.options.flush_bytes:
+                self.flush()
         return self.seqno
 
     def flush(self) -> int | None:
         """Write the unflushed operations as one sorted run; returns its id, or None if there are none."""
-        self._open()
+        self._ready()
         try:
+            self._owned()
             mem = self.memtable().drop("source_rank")
             facts = mem.agg(F.count(F.lit(1)).alias("n"), F.sum(runs.entry_size()).alias("b"), F.min("user_key").alias("lo"), F.max("user_key").alias("hi"), F.max("seqno").alias("s")).first()
             if not facts["n"]:
@@ -207,6 +272,7 @@ class Store:
             self._failure = e
             raise
         self._next_file, self.flushed = number + 1, facts["s"]
+        self._trim()
         return number
 
     def _write_run(self, log: DataFrame, number: int) -> None:
@@ -214,8 +280,10 @@ class Store:
         ordered.write.mode("overwrite").parquet(f"{self.path}/runs/{number:020d}.sst")
 
     def compact(self, snapshots: tuple[int, ...] = ()) -> int | None:
-        """Merge all live runs into one; versions that live snapshots need stay."""
-        self._open()
+        """Merge all live runs into one; versions that open snapshots of this store, or those given, need stay."""
+        self._ready()
+        self._owned()
+        snapshots = tuple(sorted({*snapshots, *self._snapshots}))
         ids = [r["file_id"] for r in self.live().select("file_id").collect()]
         if not ids:
             return None
@@ -231,9 +299,14 @@ class Store:
     # --- reads ---------------------------------------------------------------------------
 
     def snapshot(self) -> int:
+        """A sequence number that reads may ask for; compaction keeps its versions until it is released."""
         self._open()
+        self._snapshots.append(self.seqno)
         return self.seqno
 
+    def release(self, snapshot: int) -> None:
+        self._snapshots.remove(snapshot)
+
     def get(self, key: bytes, snapshot: int | None = None) -> bytes:
         self._open()
         hit = reads.winners(self.versions(key, key), snapshot, reads.by_source()).first()

@@ -22,16 +22,11 @@ def live(stream_state: DataFrame) -> DataFrame:
 def ingest_stream(batches: DataFrame, store: Store, checkpoint: str, flush_every: int = 1) -> StreamingQuery:
     """Append each micro-batch of ``batch_id, ops`` and flush every so many.
 
-    A micro-batch that was marked as done is skipped when it is repeated. One that stopped
-    between append and mark is appended again with later numbers: its keys end with the same values.
+    A micro-batch that is repeated is skipped, wherever it was stopped: its number is in the name of
+    the log segment that holds it, and stays marked when that segment goes into a run.
     """
     def append(frame: DataFrame, number: int) -> None:
-        mark = store._at(f"stream-commits/{number:020d}")
-        if store._fs.exists(mark):
-            return
-        store.ingest(frame)
-        store._fs.mkdirs(store._at("stream-commits"))
-        store._fs.create(mark).close()
+        store.ingest(frame, micro_batch=number)
         if (number + 1) % flush_every == 0:
             store.flush()
 

@@ -79,6 +79,71 @@ def test_a_stopped_commit_is_seen_whole_or_not(spark, tmp_path, point, visible):
     assert len(os.listdir(tmp_path / "db" / "runs")) == int(visible)
 
 
+def test_second_writer_fences_the_first(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    opened = []
+
+    def open_another(point):
+        if armed and point == "run_written":
+            opened.append(Store(spark, path))
+
+    armed = False
+    first = Store(spark, path, hook=open_another)
+    first.put(b"k", b"v")
+    armed = True
+    with pytest.raises(E.FencedError):
+        first.flush()
+    with pytest.raises(E.FlushFailedError):
+        first.ingest(spark.createDataFrame([(0, [{"op_type": 1, "key": b"a", "value": b"b"}])], S.BATCH))
+    second = opened[0]
+    assert second.get(b"k") == b"v" and second.flush() == 1 and second.segments() == []
+    reader = Store(spark, path, read_only=True)
+    second.put(b"k", b"w")
+    assert reader.get(b"k") == b"w"
+    second.flush()
+    assert reader.get(b"k") == b"w" and Store(spark, path).seqno == 2
+    for call in (reader.flush, reader.compact, lambda: reader.put(b"a", b"b")):
+        with pytest.raises(E.ReadOnlyError):
+            call()
+
+
+def test_ingest_checks_kinds_and_repeats(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+
+    def stop(point):
+        if armed and point == "log_appended":
+            raise RuntimeError(point)
+
+    armed = False
+    s = Store(spark, path, hook=stop)
+    frame = lambda kind: spark.createDataFrame([(0, [{"op_type": kind, "key": b"a", "value": b"b"}]), (1, [])], S.BATCH)
+    for kind in (7, None):
+        with pytest.raises(E.UnknownOpError):
+            s.ingest(frame(kind))
+    armed = True
+    with pytest.raises(RuntimeError):
+        s.ingest(frame(1), micro_batch=3)
+    s = Store(spark, path)
+    assert s.seqno == 1 and s.ingest(frame(1), micro_batch=3) == 1
+    s.flush()
+    assert s.ingest(frame(1), micro_batch=3) == 1 and s.ingest(frame(1), micro_batch=4) == 2
+
+
+def test_compaction_keeps_open_snapshots(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/db")
+    s.put(b"a", b"1")
+    at = s.snapshot()
+    s.flush()
+    s.write([(2, b"a", None)])
+    s.flush()
+    s.compact()
+    assert s.get(b"a", at) == b"1"
+    s.release(at)
+    s.compact()
+    with pytest.raises(E.KeyNotFoundError):
+        s.get(b"a", at)
+
+
 def test_auto_flush_and_missing_file(spark, tmp_path):
     path = f"file://{tmp_path}/db"
     s = Store(spark, path, Options(flush_bytes=100))
