@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ledgerlake import schema as S
 from ledgerlake.functions import codecs
 from ledgerlake.operators import changelog, manifest, reads, records, runs, verify
+from ledgerlake.plans.store import Store
 from ledgerlake.sources import bindings as B
+from ledgerlake.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -481,7 +483,11 @@ def internal_key_decode(spark, d):
     return k.select(F.col("k.user_key").cast("string").alias("user_key"), F.col("k.seqno").cast("bigint").alias("seqno"), "k.kind")
 
 
-@query()
+@query(LOG, """tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 2197175160) ELSE x >> 1 END)) AS t)""",
+    """val AS (SELECT DISTINCT coalesce(value, '') AS v FROM log)""",
+    """crc AS (SELECT v, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, strlen(v) + 1), lambda i: CAST(ord(substr(v, i, 1)) AS BIGINT))),
+        lambda c, b: xor(t[CAST((xor(c, b) & 255) + 1 AS BIGINT)], c >> 8)), 4294967295) AS crc FROM val, tab)""",
+    sql="SELECT seqno, CAST(crc AS BIGINT) AS crc32c FROM log JOIN crc ON coalesce(value, '') = v")
 def crc32c(spark, d):
     return B.events_log(spark, d).select("seqno", codecs.crc32c_column(F.coalesce(F.col("value"), F.lit("")).cast("binary")).alias("crc32c"))
 
@@ -537,3 +543,153 @@ def block_roundtrip(spark, d):
 @query()
 def workload_mix(spark, d):
     return verify.workload(spark, verify.WorkloadConfig(operations=1000))
+
+
+# --- states, orders, files -----------------------------------------------------------------
+
+
+@query(LOG, sql="SELECT user_key, arg_max(kind, seqno) = 1 AS present, CASE WHEN arg_max(kind, seqno) = 1 THEN arg_max(coalesce(value, ''), seqno) END AS value FROM log GROUP BY user_key")
+def model_state(spark, d):
+    return verify.state(B.events_log(spark, d))
+
+
+@query(LOG, sql="SELECT user_key, min(seqno) AS first_seen FROM log GROUP BY user_key")
+def model_keys(spark, d):
+    return verify.keys_in_order(B.events_log(spark, d))
+
+
+@query(LOG, """twice AS (SELECT user_key, (seqno + 1) // 2 AS seqno, kind, value, seqno AS insert_ord FROM log)""",
+    sql="SELECT user_key, kind, value, seqno FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seqno DESC, insert_ord DESC) AS rn FROM twice) WHERE rn = 1")
+def kv_insertion_ties(spark, d):
+    """Versions that share a key and a number: the one inserted later wins."""
+    log = B.events_log(spark, d).withColumn("insert_ord", F.col("seqno")).withColumn("seqno", F.expr("(seqno + 1) div 2"))
+    return reads.winners(log, order=reads.by_insertion())
+
+
+@query("""b AS (SELECT o_orderkey AS batch_id, CAST(o_orderkey % 4 AS BIGINT) AS op_count FROM orders)""",
+    sql="""SELECT batch_id, op_count, CAST(coalesce(sum(op_count) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base_seqno
+    FROM b WHERE op_count > 0""")
+def empty_batches(spark, d):
+    """Empty batches take no number."""
+    return changelog.assign_seqnos(B.table(spark, d, "orders").select(F.col("o_orderkey").alias("batch_id"), (F.col("o_orderkey") % 4).alias("op_count")))
+
+
+@query(LOG, """nxt AS (SELECT seqno AS pos, user_key AS a, kind, lead(user_key) OVER (ORDER BY seqno) AS b, seqno * 7 % 5 AS sa, seqno * 3 % 5 AS sb FROM log)""",
+    sql="SELECT pos, CAST(CASE WHEN a < b THEN -1 WHEN a > b THEN 1 WHEN sa > sb THEN -1 WHEN sa < sb THEN 1 ELSE 0 END AS INTEGER) AS sign FROM nxt WHERE b IS NOT NULL")
+def internal_key_compare(spark, d):
+    """Each user key against its predecessor's follower: key ascending, then number descending, kinds not compared."""
+    log = B.events_log(spark, d)
+    nxt = log.select((F.col("seqno") - 1).alias("pos"), F.col("user_key").alias("b"))
+    pairs = log.select(F.col("seqno").alias("pos"), F.col("user_key").alias("a"), "kind").join(nxt, "pos")
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            sign = [codecs.compare_keys((a.encode(), pos * 7 % 5, kind), (b.encode(), pos * 3 % 5, 3 - kind)) for pos, a, kind, b in zip(pdf["pos"], pdf["a"], pdf["kind"], pdf["b"])]
+            yield pd.DataFrame({"pos": pdf["pos"], "sign": sign})
+
+    return pairs.select("pos", "a", "kind", "b").mapInPandas(run, "pos bigint, sign int")
+
+
+@query("""h AS (SELECT event_id AS pos, event_id % 11 = 3 AS m, event_id % 13 = 4 AS v, event_id % 17 = 5 AS k, event_id % 19 = 6 AS big, event_id % 7 = 1 AS part, event_id % 5 = 2 AS crc,
+        CASE WHEN event_id % 23 = 7 THEN 17 WHEN event_id % 29 = 8 THEN 19 ELSE 18 END AS n FROM events)""",
+    sql="""SELECT pos, CASE WHEN n < 18 THEN 'truncated' WHEN n > 18 THEN 'corrupt_record' WHEN m THEN 'bad_magic' WHEN v THEN 'bad_version' WHEN k THEN 'bad_type'
+    WHEN big THEN 'too_large' WHEN part THEN 'truncated' WHEN crc THEN 'checksum' ELSE 'ok' END AS status FROM h""")
+def record_header_status(spark, d):
+    """Headers with one or more faults: the first check that fails names the record."""
+    e = B.table(spark, d, "events").select(F.col("event_id").alias("pos"))
+    hit = lambda n, r: F.col("pos") % n == r
+    status = codecs.record_status(
+        magic=F.when(hit(11, 3), F.lit(S.MANIFEST_MAGIC)).otherwise(F.lit(S.WAL_MAGIC)),
+        version=F.when(hit(13, 4), 9).otherwise(S.FORMAT_VERSION),
+        kind=F.when(hit(17, 5), 9).otherwise(S.FULL_RECORD),
+        header_bytes=F.when(hit(23, 7), 17).when(hit(29, 8), 19).otherwise(S.RECORD_HEADER),
+        length=F.when(hit(19, 6), S.MAX_RECORD_PAYLOAD + 1).otherwise(100),
+        payload_bytes=F.when(hit(7, 1), 99).otherwise(S.MAX_RECORD_PAYLOAD + 1),
+        stated=F.lit(5), actual=F.when(hit(5, 2), 6).otherwise(5), expected=S.WAL_MAGIC,
+    )
+    return e.select("pos", status.alias("status"))
+
+
+FILE_BATCHES = 70
+LOGGED = f"""file AS (SELECT batch_id // {FILE_BATCHES} AS file_id, batch_id % {FILE_BATCHES} AS pos, encoded_bytes + 18 AS n FROM siz),
+    cut AS (SELECT *, CAST(sum(n) OVER (PARTITION BY file_id ORDER BY pos) AS BIGINT) AS end_offset, pos = max(pos) OVER (PARTITION BY file_id) AS last FROM file),
+    seen AS (SELECT file_id, pos, CAST(end_offset - n AS BIGINT) AS start_offset, CASE WHEN last AND file_id % 3 = 1 THEN end_offset - 1 ELSE end_offset END AS end_offset,
+        CASE WHEN last AND file_id % 3 = 1 THEN 'truncated' WHEN last AND file_id % 3 = 2 THEN 'checksum' ELSE 'ok' END AS status FROM cut)"""
+
+
+@query(LOG, BATCHED, SIZES, LOGGED, sql="SELECT * FROM seen")
+def wal_file_records(spark, d):
+    """Framed log files, a third torn by a byte and a third with a damaged last payload, read back record by record."""
+    batches = changelog.collect_batches(B.with_batches(B.events_log(spark, d)))
+    payloads = batches.select(F.expr(f"batch_id div {FILE_BATCHES}").alias("file_id"), "batch_id", codecs.batch_column(F.col("ops")).alias("payload"))
+
+    def through(pdf):
+        import pandas as pd
+
+        number = int(pdf["file_id"].iloc[0])
+        data = b"".join(codecs.encode_record(S.WAL_MAGIC, bytes(x)) for x in pdf.sort_values("batch_id")["payload"])
+        if number % 3 == 1:
+            data = data[:-1]
+        elif number % 3 == 2:
+            data = data[:-1] + bytes([data[-1] ^ 1])
+        rows = [(number, pos, start, end, status) for pos, start, end, _, status in codecs.read_records(data, S.WAL_MAGIC)]
+        return pd.DataFrame(rows, columns=["file_id", "pos", "start_offset", "end_offset", "status"])
+
+    return payloads.groupBy("file_id").applyInPandas(through, "file_id bigint, pos bigint, start_offset bigint, end_offset bigint, status string")
+
+
+@query(LOG, BATCHED, sql="SELECT batch_id AS op_id, CAST(op_idx AS INTEGER) AS op_idx, kind AS op_type, user_key AS key, value FROM bat")
+def ndjson_roundtrip(spark, d):
+    """Operations as NDJSON files with base64 fields, read back."""
+    log = B.with_batches(B.events_log(spark, d))
+    ops = log.select(F.col("batch_id").alias("op_id"), "op_idx", F.col("kind").alias("op_type"), F.col("user_key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    path = files.scratch(spark, "ndjson")
+    files.operations_json(ops).write.text(path)
+    return files.read_operations(spark, path).select("op_id", "op_idx", "op_type", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+FIRST_BATCHES, THEN_BATCHES = 30, 60
+
+
+def _filled(spark, d) -> Store:
+    """A store that took the events in three appends, flushed two of them, and was opened again."""
+    path = files.scratch(spark, "store")
+    batches = changelog.collect_batches(B.with_batches(B.events_log(spark, d)))
+    store = Store(spark, path)
+    store.ingest(batches.where(F.col("batch_id") < FIRST_BATCHES))
+    store.flush()
+    store.ingest(batches.where(F.col("batch_id").between(FIRST_BATCHES, THEN_BATCHES - 1)))
+    store.flush()
+    store.ingest(batches.where(F.col("batch_id") >= THEN_BATCHES))
+    store.close()
+    return Store(spark, path)
+
+
+def _text(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("user_key", "value")})
+
+
+@query(LOG, TOP, sql="SELECT user_key, value, seqno FROM top WHERE rn = 1 AND kind = 1")
+def store_scan(spark, d):
+    """Two runs and a log, replayed on opening."""
+    return _text(_filled(spark, d).scan())
+
+
+@query(LOG, BATCHED, f"""old AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seqno DESC) AS rn FROM bat WHERE batch_id < {FIRST_BATCHES})""",
+    sql="SELECT user_key, value, seqno FROM old WHERE rn = 1 AND kind = 1")
+def store_snapshot_after_compaction(spark, d):
+    store = _filled(spark, d)
+    at = FIRST_BATCHES * B.BATCH_OPS
+    store.compact(snapshots=(at,))
+    return _text(store.scan(snapshot=at))
+
+
+@query(LOG, BATCHED, f"""part AS (SELECT CASE WHEN batch_id < {FIRST_BATCHES} THEN 1 WHEN batch_id < {THEN_BATCHES} THEN 2 END AS file_id, * FROM bat)""",
+    sql="""SELECT 0 AS level, CAST(file_id AS BIGINT) AS file_id, count(*) AS entries, CAST(sum(17 + strlen(user_key) + coalesce(strlen(value), 0)) AS BIGINT) AS bytes,
+    min(user_key) AS smallest_key, max(user_key) AS largest_key FROM part WHERE file_id IS NOT NULL GROUP BY file_id""")
+def store_files(spark, d):
+    """What the manifest of that store says."""
+    live = _filled(spark, d).live()
+    return live.select("level", "file_id", "entries", "bytes", F.col("smallest_key").cast("string").alias("smallest_key"), F.col("largest_key").cast("string").alias("largest_key"))

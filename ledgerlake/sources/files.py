@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +27,17 @@ EVENT = T.StructType(
 ARTIFACT_VERSION = 1
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a local one only where both are one process."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise E.InvalidOptionError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="scratch-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_log(spark: SparkSession, path: str, magic: bytes = S.WAL_MAGIC) -> DataFrame:
     """Records of log files: ``path, pos, start_offset, end_offset, payload, status``; each file ends at its first bad record."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
