@@ -64,4 +64,16 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Bare base32 of a SHA-1: forty hexadecimal digits as 160 bits, taken five at a time.
+_BASE32 = """list_aggregate(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST(list_sum(list_transform(range(5), lambda k: CAST(substr(bits, i + k + 1, 1) AS INTEGER) * (1 << (4 - k)))) AS INTEGER), 1)), 'string_agg', '')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        h AS (SELECT *, strlen(body) AS payload_bytes, sha1(body) AS hex FROM p),
+        b AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+            1 + 4 * (strpos('0123456789abcdef', substr(hex, i, 1)) - 1), 4)), 'string_agg', '') AS bits, min(page_id) OVER (PARTITION BY hex) AS first FROM h)
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to FROM b""",
+}
