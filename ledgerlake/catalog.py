@@ -540,9 +540,34 @@ def block_roundtrip(spark, d):
     return _runs(spark, d).select("sst_id", "user_key", "seqno", "kind", "value").groupBy("sst_id").applyInPandas(through, "sst_id bigint, user_key string, seqno bigint, kind int, value string")
 
 
-@query()
+WORKLOAD = verify.WorkloadConfig(operations=1000)
+
+
+def _draw(stream: str, n: int | None, idx: str = "op_idx") -> str:
+    """The generator's draw in SQL."""
+    p, (a, b) = verify.DRAW_PRIME, verify.DRAW_ROOTS
+    x = str((WORKLOAD.seed % p * a + verify.STREAMS[stream]) % p)
+    for part in (f"op_id % {p}", idx):
+        x = f"((({x} + {part}) % {p} * {a} + 12345) % {p})"
+        x = f"((xor({x}, {x} >> 15) % {p} * {b} + 54321) % {p})"
+    x = f"(xor({x}, {x} >> 13) % {p})"
+    return x if n is None else f"({x} % {n})"
+
+
+OPS = f"""ops AS (SELECT op_id, CASE WHEN pick < {WORKLOAD.put_pct} THEN 'put' WHEN pick < {WORKLOAD.put_pct + WORKLOAD.delete_pct} THEN 'delete' ELSE 'batch' END AS kind
+    FROM (SELECT op_id, {_draw("kind", 100, "0")} AS pick FROM range(1, {WORKLOAD.operations + 1}) t(op_id))),
+    sized AS (SELECT *, CASE WHEN kind = 'batch' THEN {_draw("size", 3, "0")} + 2 ELSE 1 END AS items FROM ops),
+    items AS (SELECT op_id, kind, unnest(range(items)) AS op_idx FROM sized)"""
+DRAWN = f"""drawn AS (SELECT *, printf('key-%04d', CASE WHEN {_draw("hot", 100)} < {WORKLOAD.hot_pct} THEN {_draw("key", WORKLOAD.hot_keys)} ELSE {_draw("key", WORKLOAD.keys)} END) AS key,
+        kind = 'delete' OR (kind = 'batch' AND {_draw("item", 100)} < {WORKLOAD.delete_pct}) AS wants_delete FROM items),
+    typed AS (SELECT *, CASE WHEN wants_delete AND count(*) FILTER (NOT wants_delete) OVER (PARTITION BY key ORDER BY op_id, op_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0
+        THEN 2 ELSE 1 END AS op_type FROM drawn)"""
+
+
+@query(OPS, DRAWN, sql=f"""SELECT op_id, CASE WHEN kind = 'delete' AND op_type = 1 THEN 'put' ELSE kind END AS kind, CAST(op_idx AS INTEGER) AS op_idx, op_type, key,
+    CASE WHEN op_type = 1 THEN left(repeat(lpad(CAST({_draw("value", None)} AS VARCHAR), 10, '0'), {-(-WORKLOAD.max_value // 10)}), {_draw("len", WORKLOAD.max_value + 1)}) END AS value FROM typed""")
 def workload_mix(spark, d):
-    return verify.workload(spark, verify.WorkloadConfig(operations=1000))
+    return verify.workload(spark, WORKLOAD)
 
 
 # --- states, orders, files -----------------------------------------------------------------

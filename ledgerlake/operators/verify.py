@@ -63,20 +63,37 @@ class WorkloadConfig:
         return cls(operations=24)
 
 
+#: The prime below which draws are made, two of its primitive roots, and the streams that draws come from.
+DRAW_PRIME, DRAW_ROOTS = 2_147_483_647, (48_271, 69_621)
+STREAMS = {"kind": 1, "size": 2, "hot": 3, "key": 4, "item": 5, "len": 6, "value": 7}
+
+
+def draw(seed: int, stream: str, op_id: F.Column, op_idx: F.Column) -> F.Column:
+    """A number from 0 up to DRAW_PRIME, by congruences alone, so that SQL anywhere can state it; no product leaves 64 bits."""
+    a, b = DRAW_ROOTS
+    x = F.lit(seed % DRAW_PRIME * a + STREAMS[stream]) % DRAW_PRIME
+    for part in (op_id % DRAW_PRIME, op_idx.cast("bigint")):
+        x = ((x + part) % DRAW_PRIME * a + 12_345) % DRAW_PRIME
+        x = (x.bitwiseXOR(F.shiftright(x, 15)) % DRAW_PRIME * b + 54_321) % DRAW_PRIME
+    return x.bitwiseXOR(F.shiftright(x, 13)) % DRAW_PRIME
+
+
 def workload(spark: SparkSession, config: WorkloadConfig = WorkloadConfig()) -> DataFrame:
     """``op_id, kind, op_idx, op_type, key, value``: repeatable, and made in parallel. Deletes of keys never put become puts."""
-    draw = lambda n, *c: F.pmod(F.xxhash64(F.lit(config.seed), *c), F.lit(n))
+    of = lambda stream, n, idx=F.col("op_idx"): draw(config.seed, stream, F.col("op_id"), idx) % n
+    whole = F.lit(0)
     ops = spark.range(1, config.operations + 1).withColumnRenamed("id", "op_id")
-    pick = draw(100, F.lit("kind"), "op_id")
-    ops = ops.withColumn("kind", F.when(pick < config.put_pct, "put").when(pick < config.put_pct + config.delete_pct, "delete").otherwise("batch"))
-    items = ops.withColumn("op_idx", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == "batch", draw(3, F.lit("size"), "op_id") + 1).otherwise(0).cast("int"))))
-    hot = draw(100, F.lit("hot"), "op_id", "op_idx") < config.hot_pct
-    number = F.when(hot, draw(config.hot_keys, F.lit("key"), "op_id", "op_idx")).otherwise(draw(config.keys, F.lit("key"), "op_id", "op_idx"))
+    ops = ops.withColumn("pick", of("kind", 100, whole))
+    ops = ops.select("op_id", F.when(F.col("pick") < config.put_pct, "put").when(F.col("pick") < config.put_pct + config.delete_pct, "delete").otherwise("batch").alias("kind"))
+    items = ops.withColumn("op_idx", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == "batch", of("size", 3, whole) + 1).otherwise(0).cast("int"))))
+    number = F.when(of("hot", 100) < config.hot_pct, of("key", config.hot_keys)).otherwise(of("key", config.keys))
     items = items.withColumn("key", F.format_string("key-%04d", number))
-    wants_delete = (F.col("kind") == "delete") | ((F.col("kind") == "batch") & (draw(100, F.lit("item"), "op_id", "op_idx") < config.delete_pct))
-    first = items.groupBy("key").agg(F.min(F.when(~wants_delete, F.struct("op_id", "op_idx"))).alias("first_put"))
+    wants_delete = (F.col("kind") == "delete") | ((F.col("kind") == "batch") & (of("item", 100) < config.delete_pct))
+    items = items.withColumn("wants_delete", wants_delete)
+    first = items.groupBy("key").agg(F.min(F.when(~F.col("wants_delete"), F.struct("op_id", "op_idx"))).alias("first_put"))
     items = items.join(first, "key")
     known = F.col("first_put").isNotNull() & (F.struct("op_id", "op_idx") > F.col("first_put"))
-    items = items.withColumn("op_type", F.when(wants_delete & known, S.DELETE).otherwise(S.PUT))
-    value = F.repeat(F.hex(F.xxhash64(F.lit(config.seed), "op_id", "op_idx")), 8).substr(F.lit(1), (draw(config.max_value + 1, F.lit("len"), "op_id", "op_idx")).cast("int"))
+    items = items.withColumn("op_type", F.when(F.col("wants_delete") & known, S.DELETE).otherwise(S.PUT))
+    digits = F.lpad(draw(config.seed, "value", F.col("op_id"), F.col("op_idx")).cast("string"), 10, "0")
+    value = F.repeat(digits, -(-config.max_value // 10)).substr(F.lit(1), of("len", config.max_value + 1).cast("int"))
     return items.select("op_id", F.when((F.col("kind") == "delete") & (F.col("op_type") == S.PUT), "put").otherwise(F.col("kind")).alias("kind"), "op_idx", "op_type", "key", F.when(F.col("op_type") == S.PUT, value).alias("value"))
