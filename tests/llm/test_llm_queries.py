@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from ledgerlake.llm import queries, simhash, substring_dedup
+from ledgerlake.llm import licenses, queries, simhash, substring_dedup
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -46,6 +46,21 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
 
 
+def test_license_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    texts = [f"some words before, {t.words.upper()}; and after {t.words}" for t in licenses.TEMPLATES]
+    texts += [None, "", "...", "mit license mit license", "GNU GENERAL PUBLIC LICENSE", "Kmit license", "\u212amit license", "CC-BY mit_license\x00x", "mit license" + " q" * 50_000]
+    texts += ["licensed under apache license version 2 0 the the", "redistribution in source of binary forms and use", texts[0], texts[3]]
+    rows = [(None if i % 7 == 3 else i // 2, x) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op5_license_scan"])
+    got = queries.op5_license_scan(spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
