@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
 from ledgerlake.functions import codecs
-from ledgerlake.operators import changelog, manifest, reads, records, runs, verify
+from ledgerlake.operators import changelog, dumps, manifest, reads, records, runs, verify
+from ledgerlake.plans import recovery
 from ledgerlake.plans.store import Store
 from ledgerlake.sources import bindings as B
-from ledgerlake.sources import files
+from ledgerlake.sources import files, framed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -718,3 +719,141 @@ def store_files(spark, d):
     """What the manifest of that store says."""
     live = _filled(spark, d).live()
     return live.select("level", "file_id", "entries", "bytes", F.col("smallest_key").cast("string").alias("smallest_key"), F.col("largest_key").cast("string").alias("largest_key"))
+
+
+# --- binary files --------------------------------------------------------------------------
+
+START_KEY = "34"
+
+
+def _run_files(spark, d) -> tuple[str, DataFrame]:
+    """The folder of the events' run files, and a row a file."""
+    folder = files.scratch(spark, "runs")
+    framed.write_runs(_runs(spark, d), folder, BLOCK_TARGET).write.parquet(f"{folder}/facts")
+    return folder, spark.read.parquet(f"{folder}/facts")
+
+
+@query(LOG, RUNS, KEYS_SQL, sql="""SELECT sst_id, user_key, kind, value, seqno FROM (SELECT *, row_number() OVER (PARTITION BY sst_id, user_key ORDER BY seqno DESC) AS rn FROM runs
+    WHERE user_key IN (SELECT user_key FROM wanted)) WHERE rn = 1""")
+def run_get(spark, d):
+    """Wanted keys in run files: footer, index and one block are read."""
+    return _text(framed.get_from_runs(_run_files(spark, d)[1], wanted(spark)))
+
+
+@query(LOG, RUNS, sql=f"""SELECT sst_id, CAST(row_number() OVER (PARTITION BY sst_id ORDER BY user_key, seqno DESC) - 1 AS BIGINT) AS position, user_key, seqno, kind, value
+    FROM runs WHERE user_key >= '{START_KEY}'""")
+def run_iter(spark, d):
+    """Versions of every run file from a key on, block by block."""
+    return _text(framed.read_entries(_run_files(spark, d)[1], START_KEY.encode()))
+
+
+@query(LOG, RUNS, PACKED, """idx AS (SELECT sst_id, block_idx, last_key, last_seqno, block_bytes, CAST(coalesce(sum(block_bytes) OVER (PARTITION BY sst_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS block_offset FROM blk)""",
+    """foot AS (SELECT sst_id, CAST(sum(entries) AS BIGINT) AS entry_count, CAST(sum(block_bytes) AS BIGINT) AS index_offset, CAST(sum(25 + strlen(last_key)) + 4 AS BIGINT) AS index_bytes FROM blk GROUP BY sst_id)""",
+    sql="SELECT sst_id, entry_count, index_offset, index_bytes, block_idx, block_offset, block_bytes, last_key, last_seqno FROM idx JOIN foot USING (sst_id)")
+def run_file_dump(spark, d):
+    """Footers and indexes of run files."""
+    found = framed.read_index(_run_files(spark, d)[1])
+    return found.withColumn("last_key", F.col("last_key").cast("string"))
+
+
+@query(LOG, RUNS, sql="""SELECT sst_id, CAST(row_number() OVER (PARTITION BY sst_id ORDER BY user_key, seqno DESC) - 1 AS BIGINT) AS position, CASE WHEN kind = 1 THEN 'Put' ELSE 'Delete' END AS kind,
+    user_key, seqno, CAST(coalesce(strlen(value), 0) AS BIGINT) AS value_bytes FROM runs""")
+def run_entries_dump(spark, d):
+    return dumps.run_entries(framed.read_entries(_run_files(spark, d)[1]))
+
+
+def _folder(spark, d) -> str:
+    """A folder as a crash leaves it: all runs but the last flushed, the rest in log segments.
+
+    The newest segment and the manifest end in torn records, and a run lies there that no edit names.
+    """
+    folder, facts = _run_files(spark, d)
+    log = framed.LogWriter(spark, f"{folder}/MANIFEST-000001", S.MANIFEST_MAGIC, sync_each=True)
+    rows = facts.orderBy("sst_id").collect()  # a row a run
+    flushed = rows[:-1]
+    log.append(codecs.encode_edit({"next_file_id": 1}))
+    for r in flushed:
+        ends = (bytes(r["smallest_key"]), r["smallest_seqno"], S.PUT), (bytes(r["largest_key"]), r["largest_seqno"], S.PUT)
+        log.append(codecs.encode_edit({"next_file_id": r["sst_id"] + 1, "last_sequence": r["max_seqno"], "added": [(0, r["sst_id"], r["bytes"], *ends)]}))
+    log._out.write(bytearray(codecs.encode_record(S.MANIFEST_MAGIC, codecs.encode_edit({"next_file_id": 9}))[:-1]))
+    log.close()
+    framed.replace_text(spark, f"{folder}/CURRENT", "MANIFEST-000001\n")
+    done = max((r["max_seqno"] for r in flushed), default=0)
+    left = B.events_log(spark, d).where(F.col("seqno") > done).withColumn("batch_id", F.expr(f"(seqno - {done} - 1) div {B.BATCH_OPS}")).withColumn("op_idx", F.expr(f"int((seqno - {done} - 1) % {B.BATCH_OPS})"))
+    payloads = changelog.collect_batches(left).select("batch_id", codecs.batch_column(F.col("ops")).alias("payload"))
+    log = None
+    for r in payloads.orderBy("batch_id").toLocalIterator():  # one run of operations
+        if r["batch_id"] % SEGMENT_BATCHES == 0:
+            if log:
+                log.close()
+            log = framed.LogWriter(spark, f"{folder}/{done + r['batch_id'] * B.BATCH_OPS + 1:020d}.wal")
+        log.append(bytes(r["payload"]))
+    log.sync()
+    log._out.write(bytearray(codecs.encode_record(S.WAL_MAGIC, codecs.encode_batch([(S.PUT, b"0", b"torn")]))[:-1]))
+    log.close()
+    return folder
+
+
+SEGMENT_BATCHES = 20
+FLUSHED = "fl AS (SELECT * FROM rng WHERE sst_id <= (SELECT max(sst_id) - 1 FROM rng))"
+
+
+@query(LOG, TOP, sql="SELECT user_key, value, seqno FROM top WHERE rn = 1 AND kind = 1")
+def folder_recover(spark, d):
+    """Manifest, run files and log segments after a crash: torn tails are cut, a run without an edit goes, the rest is read."""
+    back = recovery.recover(spark, _folder(spark, d))
+    return _text(reads.latest(back.versions, order=reads.by_source()))
+
+
+@query(LOG, RUNS, RANGES, FLUSHED, sql="""SELECT CAST(0 AS BIGINT) AS edit_idx, 0 AS place, 'next_file_id' AS field, '1' AS value UNION ALL SELECT sst_id, 0, 'next_file_id', CAST(sst_id + 1 AS VARCHAR) FROM fl
+    UNION ALL SELECT sst_id, 1, 'last_sequence', CAST(max_seqno AS VARCHAR) FROM fl""")
+def manifest_file_dump(spark, d):
+    """Counters that each edit of a framed manifest sets; its torn last record is left out."""
+    folder = _folder(spark, d)
+    edits, _ = recovery.read_manifest(spark, f"{folder}/MANIFEST-000001", repair=False)
+    return dumps.edit_fields(edits).where("field <> 'add_file'")
+
+
+@query(LOG, BATCHED, SIZES, LOGGED, sql="""SELECT file_id, pos, status, CASE WHEN status = 'ok' THEN CAST(encoded_bytes AS BIGINT) END AS payload_bytes, CASE WHEN status = 'ok' THEN op_count END AS op_count, CAST(NULL AS VARCHAR) AS error
+    FROM seen JOIN siz ON siz.batch_id = seen.file_id * 70 + seen.pos""")
+def wal_dump_file(spark, d):
+    """Framed log files, some damaged, decoded record by record."""
+    batches = changelog.collect_batches(B.with_batches(B.events_log(spark, d)))
+    payloads = batches.select(F.expr(f"batch_id div {FILE_BATCHES}").alias("file_id"), "batch_id", codecs.batch_column(F.col("ops")).alias("payload"))
+
+    def through(pdf):
+        import pandas as pd
+
+        number = int(pdf["file_id"].iloc[0])
+        data = b"".join(codecs.encode_record(S.WAL_MAGIC, bytes(x)) for x in pdf.sort_values("batch_id")["payload"])
+        data = data[:-1] if number % 3 == 1 else data[:-1] + bytes([data[-1] ^ 1]) if number % 3 == 2 else data
+        rows = [(str(number), pos, payload, status) for pos, _, _, payload, status in codecs.read_records(data, S.WAL_MAGIC)]
+        return pd.DataFrame(rows, columns=["path", "pos", "payload", "status"])
+
+    found = payloads.groupBy("file_id").applyInPandas(through, "path string, pos bigint, payload binary, status string")
+    return dumps.log_records(found, decode=True).select(F.col("path").cast("bigint").alias("file_id"), "pos", "status", "payload_bytes", "op_count", "error")
+
+
+@query(LOG, TOP, sql="SELECT user_key, value, seqno FROM top WHERE rn = 1 AND kind = 1 AND user_key >= '1' AND user_key < '7' ORDER BY user_key DESC LIMIT 25")
+def kv_scan_reverse(spark, d):
+    """The last 25 live keys of a range, backwards."""
+    return reads.scan_reverse(B.events_log(spark, d), "1", "7", limit=25)
+
+
+@query(LOG, sql="SELECT count(*) AS entries FROM log")
+def model_len(spark, d):
+    return verify.entries(B.events_log(spark, d))
+
+
+def _bytes_sql(stream: str, shortest: int, longest: int) -> str:
+    words = f"list_reduce(list_prepend('', list_transform(range({longest // 4 + 1}), lambda i: lpad(upper(to_hex({_draw(stream + '_bytes', None, 'i')})), 8, '0'))), lambda a, b: a || b)"
+    return f"left({words}, 2 * ({_draw(stream + '_len', longest - shortest + 1, '0')} + {shortest}))"
+
+
+PAIRS = 1000
+
+
+@query(f"ids AS (SELECT op_id FROM range(1, {PAIRS + 1}) t(op_id))", sql=f"SELECT op_id, {_bytes_sql('key', 1, 16)} AS key, {_bytes_sql('value', 0, 64)} AS value FROM ids")
+def random_pairs(spark, d):
+    """Random keys and values, in hexadecimal digits."""
+    return verify.random_pairs(spark, PAIRS, seed=WORKLOAD.seed).select("op_id", F.hex("key").alias("key"), F.hex("value").alias("value"))

@@ -17,6 +17,8 @@ FlushFailedError = _kind("FlushFailedError", "flush_failed")
 CancelledError = _kind("CancelledError", "cancelled")
 ReadOnlyError = _kind("ReadOnlyError", "read_only")
 FencedError = _kind("FencedError", "fenced")
+IteratorClosedError = _kind("IteratorClosedError", "iterator_closed", ClosedError)
+InjectedFaultError = _kind("InjectedFaultError", "injected_fault")
 
 CodecError = _kind("CodecError", "corrupt")
 CorruptKeyError = _kind("CorruptKeyError", "corrupt_key", CodecError)

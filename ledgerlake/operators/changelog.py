@@ -6,10 +6,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
+from ledgerlake.functions import codecs
 
 CHUNK = 65_536
 
 
+class Batch:
+    """Operations that a store writes as one. Keys and values are copied; empty ones are allowed."""
+
+    def __init__(self, ops: tuple[tuple[int, bytes, bytes | None], ...] = ()):
+        self.ops = list(ops)
+
+    def put(self, key: bytes, value: bytes) -> "Batch":
+        self.ops.append((S.PUT, bytes(key), bytes(value)))
+        return self
+
+    def delete(self, key: bytes) -> "Batch":
+        self.ops.append((S.DELETE, bytes(key), None))
+        return self
+
+    def __len__(self) -> int:
+        return len(self.ops)
+
+    def clear(self) -> None:
+        self.ops = []
+
+    def clone(self) -> "Batch":
+        return Batch(tuple(self.ops))
+
+    def encode(self) -> bytes:
+        return codecs.encode_batch(self.ops)
+
+    @classmethod
+    def decode(cls, data: bytes) -> "Batch":
+        return cls(tuple(codecs.decode_batch(data)))
+
+
 def prefix_sum(rows: DataFrame, order: str, amount: str, out: str, chunk: int = CHUNK) -> DataFrame:
     """``out``: the sum of ``amount`` over the rows before each row by a dense integer ``order``.
 

@@ -112,6 +112,12 @@ def scan_range(log: DataFrame, start: str | None = None, end: str | None = None,
     return out if limit is None else out.limit(limit)
 
 
+def scan_reverse(log: DataFrame, start: str | None = None, end: str | None = None, snapshot: int | None = None, limit: int | None = None) -> DataFrame:
+    """Live keys of [start, end) from the last to the first; a limit keeps the last ones."""
+    out = scan_range(log, start, end, snapshot).orderBy(F.desc("user_key"))
+    return out if limit is None else out.limit(limit)
+
+
 def scan_prefix(log: DataFrame, prefix: str, snapshot: int | None = None) -> DataFrame:
     return latest(log.where(F.col("user_key").startswith(prefix)), snapshot)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake import errors as E
+from ledgerlake import faults
 from ledgerlake import schema as S
 from ledgerlake.operators.reads import winners
 
@@ -32,6 +33,11 @@ def keys_in_order(log: DataFrame, order: str = "seqno") -> DataFrame:
     return log.groupBy("user_key").agg(F.min(order).alias("first_seen"))
 
 
+def entries(log: DataFrame) -> DataFrame:
+    """Entries of a model: every version counts, not every key."""
+    return log.agg(F.count(F.lit(1)).alias("entries"))
+
+
 def lifecycle(events: DataFrame) -> DataFrame:
     """Status of each operation by its last event: acked, failed, or pending after a start."""
     last = events.groupBy("op_id").agg(F.max_by("event_kind", "ord").alias("last_event"), F.count(F.lit(1)).alias("events"))
@@ -65,7 +71,7 @@ class WorkloadConfig:
 
 #: The prime below which draws are made, two of its primitive roots, and the streams that draws come from.
 DRAW_PRIME, DRAW_ROOTS = 2_147_483_647, (48_271, 69_621)
-STREAMS = {"kind": 1, "size": 2, "hot": 3, "key": 4, "item": 5, "len": 6, "value": 7}
+STREAMS = {"kind": 1, "size": 2, "hot": 3, "key": 4, "item": 5, "len": 6, "value": 7, "key_bytes": 8, "key_len": 9, "value_bytes": 10, "value_len": 11}
 
 
 def draw(seed: int, stream: str, op_id: F.Column, op_idx: F.Column) -> F.Column:
@@ -97,3 +103,67 @@ def workload(spark: SparkSession, config: WorkloadConfig = WorkloadConfig()) ->
     digits = F.lpad(draw(config.seed, "value", F.col("op_id"), F.col("op_idx")).cast("string"), 10, "0")
     value = F.repeat(digits, -(-config.max_value // 10)).substr(F.lit(1), of("len", config.max_value + 1).cast("int"))
     return items.select("op_id", F.when((F.col("kind") == "delete") & (F.col("op_type") == S.PUT), "put").otherwise(F.col("kind")).alias("kind"), "op_idx", "op_type", "key", F.when(F.col("op_type") == S.PUT, value).alias("value"))
+
+
+def random_bytes(seed: int, stream: str, op_id: F.Column, shortest: int, longest: int) -> F.Column:
+    """Repeatable bytes of ``shortest`` to ``longest`` length: draws at places 0, 1, ... of four bytes each."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(longest // 4)), lambda i: F.lpad(F.hex(draw(seed, f"{stream}_bytes", op_id, i)), 8, "0"))
+    length = (draw(seed, f"{stream}_len", op_id, F.lit(0)) % (longest - shortest + 1) + shortest).cast("int")
+    return F.unhex(F.substring(F.array_join(words, ""), F.lit(1), length * 2))
+
+
+def random_pairs(spark: SparkSession, n: int, max_key: int = 16, max_value: int = 64, seed: int = 1) -> DataFrame:
+    """``op_id, key, value`` of ``n`` random pairs: keys of 1 to ``max_key`` bytes, values of 0 to ``max_value``."""
+    if max_key < 1 or max_value < 0:
+        raise E.InvalidOptionError("lengths")
+    ids = spark.range(1, n + 1).withColumnRenamed("id", "op_id")
+    return ids.select("op_id", random_bytes(seed, "key", F.col("op_id"), 1, max_key).alias("key"), random_bytes(seed, "value", F.col("op_id"), 0, max_value).alias("value"))
+
+
+#: Settings of the named harness profiles; ``full`` is the default one. Fixed values: ``ci``.
+PROFILES = {
+    "full": {},
+    "ci": dict(cycles=6, min_delay_ms=8, max_delay_ms=20, seed=777, ops=24, put_ratio=60, delete_ratio=20, batch_ratio=20, max_key_len=16, max_value_len=64, hot_key_ratio=35, verify_every_cycle=True),
+}
+
+
+@dataclass(frozen=True)
+class HarnessConfig:
+    """A crash run: how many cycles, when to stop them, and the workload. ``profile`` overrides what it names."""
+
+    dbdir: str
+    artifact_dir: str
+    cycles: int = 50
+    min_delay_ms: int = 10
+    max_delay_ms: int = 100
+    seed: int = 1
+    ops: int = 100
+    put_ratio: int = 60
+    delete_ratio: int = 20
+    batch_ratio: int = 20
+    max_key_len: int = 32
+    max_value_len: int = 128
+    hot_key_ratio: int = 30
+    verify_every_cycle: bool = True
+    profile: str = "full"
+    crash_point: str = ""
+    fault_point: str = ""
+
+    def __post_init__(self):
+        if self.profile not in PROFILES:
+            raise E.InvalidOptionError(f"profile {self.profile!r}")
+        for name, value in PROFILES[self.profile].items():
+            object.__setattr__(self, name, value)
+        ratios = self.put_ratio, self.delete_ratio, self.batch_ratio
+        wrong = {
+            "dbdir": not self.dbdir, "artifact_dir": not self.artifact_dir, "cycles": self.cycles <= 0, "ops": self.ops <= 0,
+            "min_delay_ms": self.min_delay_ms < 0, "max_delay_ms": self.max_delay_ms <= 0 or self.max_delay_ms < self.min_delay_ms,
+            "ratios": min(ratios) < 0 or sum(ratios) != 100, "hot_key_ratio": not 0 <= self.hot_key_ratio <= 100,
+            "max_key_len": self.max_key_len < 1, "max_value_len": self.max_value_len < 0,
+            "crash_point": self.crash_point not in ("", *faults.CRASHES), "fault_point": self.fault_point not in ("", *faults.FAULTS),
+        }
+        if any(wrong.values()):
+            raise E.InvalidOptionError(", ".join(k for k, bad in wrong.items() if bad))
+
+    def workload(self) -> WorkloadConfig:
+        return WorkloadConfig(operations=self.ops, put_pct=self.put_ratio, delete_pct=self.delete_ratio, batch_pct=self.batch_ratio, hot_pct=self.hot_key_ratio, max_value=self.max_value_len, seed=self.seed)

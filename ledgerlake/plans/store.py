@@ -16,6 +16,8 @@ Stores opened with ``read_only`` neither fence nor delete anything, and see what
 
 from __future__ import annotations
 
+import functools
+import threading
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -26,11 +28,23 @@ from pyspark.sql import functions as F
 from ledgerlake import errors as E
 from ledgerlake import schema as S
 from ledgerlake.operators import changelog, manifest, reads, runs
+from ledgerlake.sources import framed
 
 LOG = "user_key binary, seqno bigint, kind int, value binary, source_rank bigint"
 EDITS = "edit_idx bigint, next_file_id bigint, last_sequence bigint, level int, file_id bigint, entries bigint, bytes bigint, smallest_key binary, largest_key binary, deleted array<bigint>"
-#: Places where a test may stop a commit.
-POINTS = ("log_appended", "run_written", "edit_written", "pointer_swapped")
+#: Places where a test may stop the store, in the order in which a write and then a flush pass them.
+POINTS = ("log_append", "log_appended", "log_synced", "run_write", "run_written", "run_publish", "edit_written", "pointer_swapped")
+
+
+def _alone(method):
+    """One thread at a time inside the store: writers wait while another one flushes."""
+
+    @functools.wraps(method)
+    def call(self, *args, **kwargs):
+        with self._lock:
+            return method(self, *args, **kwargs)
+
+    return call
 
 
 @dataclass(frozen=True)
@@ -52,7 +66,7 @@ class Options:
 class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options = Options(), hook: Callable[[str], None] | None = None, read_only: bool = False):
         self.spark, self.path, self.options, self.read_only = spark, path.rstrip("/"), options, read_only
-        self._name, self._snapshots = uuid.uuid4().hex, []
+        self._name, self._snapshots, self._lock = uuid.uuid4().hex, [], threading.RLock()
         self._hook = hook or (lambda point: None)
         self._closed, self._failure = False, None
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -102,15 +116,7 @@ class Store:
 
     def _replace(self, target: str, name: str) -> None:
         """A file with one name in it, renamed over the old one."""
-        temporary = self._at(f"{target}-{uuid.uuid4().hex}")
-        out = self._fs.create(temporary)
-        out.write(bytearray((name + "\n").encode()))
-        out.close()
-        options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        kinds = self.spark.sparkContext._gateway.new_array(options, 1)
-        kinds[0] = options.OVERWRITE
-        context.rename(self._fs.makeQualified(temporary), self._fs.makeQualified(self._at(target)), kinds)
+        framed.replace_text(self.spark, f"{self.path}/{target}", name + "\n")
 
     def _commit(self, rows: list[tuple], sequence: int, next_file: int) -> None:
         """Write a manifest with one more edit and point at it."""
@@ -161,8 +167,9 @@ class Store:
         """Delete segments whose operations a committed run holds; micro-batches among them stay marked as done."""
         for first, name in self.segments():
             if first <= self.flushed:
-                if "-b" in name:
-                    self._mark(int(name.split("-b")[1]))
+                parts = name.split("-")  # first number, own name and, of a micro-batch, its number
+                if len(parts) == 3:
+                    self._mark(int(parts[2][1:]))
                 self._fs.delete(self._at(f"log/{name}"), True)
 
     def memtable(self) -> DataFrame:
@@ -201,9 +208,11 @@ class Store:
     def delete(self, key: bytes) -> int:
         return self.write([(S.DELETE, key, None)])
 
-    def write(self, ops: list[tuple[int, bytes, bytes | None]] | None, cancelled: bool = False) -> int:
+    @_alone
+    def write(self, ops: changelog.Batch | list[tuple[int, bytes, bytes | None]] | None, cancelled: bool = False) -> int:
         """One atomic batch; returns the last sequence number. Nothing to do takes none."""
         self._ready(cancelled)
+        ops = ops.ops if isinstance(ops, changelog.Batch) else ops
         if not ops:
             return self.seqno
         if any(t not in (S.PUT, S.DELETE) for t, _, _ in ops):
@@ -221,6 +230,7 @@ class Store:
         if cancelled:
             raise E.CancelledError("before the append")
 
+    @_alone
     def ingest(self, batches: DataFrame, micro_batch: int | None = None, cancelled: bool = False) -> int:
         """A whole frame ``batch_id, ops`` as one append; operations are numbered in order.
 
@@ -244,8 +254,10 @@ class Store:
     def _append(self, log: DataFrame, count: int, micro_batch: int | None = None) -> int:
         if count:
             self._owned()
+            self._hook("log_append")
             log.write.parquet(f"{self.path}/log/{self.seqno + 1:020d}-{uuid.uuid4().hex}" + ("" if micro_batch is None else f"-b{micro_batch}"))
             self._hook("log_appended")
+            self._hook("log_synced")  # a segment is durable once it is complete, so both are one place
             self.seqno += count
         if micro_batch is not None:
             self._mark(micro_batch)
@@ -255,6 +267,7 @@ class Store:
                 self.flush()
         return self.seqno
 
+    @_alone
     def flush(self) -> int | None:
         """Write the unflushed operations as one sorted run; returns its id, or None if there are none."""
         self._ready()
@@ -265,8 +278,10 @@ class Store:
             if not facts["n"]:
                 return None
             number = self._next_file
+            self._hook("run_write")
             self._write_run(mem, number)
             self._hook("run_written")
+            self._hook("run_publish")
             self._commit([(0, number, facts["n"], facts["b"], facts["lo"], facts["hi"], None)], facts["s"], number + 1)
         except Exception as e:
             self._failure = e
@@ -279,6 +294,7 @@ class Store:
         ordered = log.withColumn("source_rank", F.lit(number).cast("bigint")).repartitionByRange("user_key").sortWithinPartitions("user_key", F.desc("seqno"))
         ordered.write.mode("overwrite").parquet(f"{self.path}/runs/{number:020d}.sst")
 
+    @_alone
     def compact(self, snapshots: tuple[int, ...] = ()) -> int | None:
         """Merge all live runs into one; versions that open snapshots of this store, or those given, need stay."""
         self._ready()
@@ -333,6 +349,7 @@ class Store:
         ids = self.versions().where(F.col("source_rank") < 2**62).withColumn("user_key", F.col("user_key").cast("string")).withColumn("value", F.col("value").cast("string"))
         return runs.footers(runs.blocks(runs.pack(ids.withColumnRenamed("source_rank", "sst_id"), self.options.block_target)))
 
+    @_alone
     def close(self) -> None:
         """No flush: what is in the log is found again on opening."""
         self._open()

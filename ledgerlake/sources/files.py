@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def read_log(spark: SparkSession, path: str, magic: bytes = S.WAL_MAGIC) -> DataFrame:
+def read_log(spark: SparkSession, path: str | list[str], magic: bytes = S.WAL_MAGIC) -> DataFrame:
     """Records of log files: ``path, pos, start_offset, end_offset, payload, status``; each file ends at its first bad record."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -137,3 +138,9 @@ def read_artifact(spark: SparkSession, path: str) -> DataFrame:
     if "version" not in found.columns or found.where(F.col("version") != ARTIFACT_VERSION).limit(1).count():
         raise E.StoreError("unsupported artifact version")
     return found
+
+
+def artifact_json(config: dict, operations: list[dict], cycles: list[dict], events: list[dict], **more) -> str:
+    """A harness run as JSON: effective configuration, seed, operations, cycles, events; of ``more`` what is set."""
+    made = {"version": ARTIFACT_VERSION, "config": config, "seed": config.get("seed"), "ops": operations, "cycles": cycles, "events": events}
+    return json.dumps(made | {k: v for k, v in more.items() if v}, indent=2) + "\n"

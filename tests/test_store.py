@@ -129,6 +129,18 @@ def test_ingest_checks_kinds_and_repeats(spark, tmp_path):
     assert s.ingest(frame(1), micro_batch=3) == 1 and s.ingest(frame(1), micro_batch=4) == 2
 
 
+def test_segment_names_are_no_micro_batches(spark, tmp_path, monkeypatch):
+    from ledgerlake.plans import store
+
+    class Name:
+        hex = "b" * 32
+
+    monkeypatch.setattr(store.uuid, "uuid4", lambda: Name)
+    s = Store(spark, f"file://{tmp_path}/db")
+    s.put(b"a", b"1")
+    assert s.flush() == 1 and s.segments() == [] and not s._exists("stream-commits")
+
+
 def test_compaction_keeps_open_snapshots(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}/db")
     s.put(b"a", b"1")
