@@ -81,8 +81,9 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     around = [0] + [sign << (4 * i) if sign > 0 else -(1 << (4 * i)) for i in range(16) for sign in (1, -1)]
     vectors = distinct.select("fp", _counts(F.col("fp")).alias("v"))
     cells = vectors.select("fp", "v", F.explode(F.array(*[F.col("v") + F.lit(d) for d in around])).alias("cell"))
+    # Spark takes the counts, up to 33 a fingerprint, for no larger than the fingerprints: never leave it to broadcast them.
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = staged(cells.join(sizes, "cell"), "cells")
+    shared = staged(cells.join(sizes.hint("merge"), "cell"), "cells")
     pairs = (
         shared.where(F.col("members") <= PAIRED_CELL)
         .groupBy("cell")
@@ -133,7 +134,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     moved = comps.join(roots, "root").select(F.col("node").alias("fp"), F.col("least").alias("component_id"))
     # A table of its own, so that the join below is one that Spark splits where many rows share a fingerprint.
     named = staged(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
-    return base.join(named, "fp").select(
+    return base.join(named.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

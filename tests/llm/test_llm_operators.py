@@ -586,6 +586,21 @@ def test_links_equal_all_pairs(spark, monkeypatch, limit, bits):
     assert {v: got.get(v, v) for v in parent} == want
 
 
+def test_counts_of_cells_are_not_broadcast(spark, monkeypatch):
+    """By file size the fingerprints look short enough, their cells are 33 times as many."""
+    plans = {}
+
+    def recorded(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return common.staged(df, name, **options)
+
+    monkeypatch.setattr(simhash, "staged", recorded)
+    base = simhash.near_duplicates(docs(spark, ["one two three four", "one two three four", "five six", None]))
+    assert "BroadcastHashJoin" not in plans["cells"] and "BroadcastExchange" not in plans["cells"]
+    assert "BroadcastHashJoin [fp" not in base._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["component_id"] for r in base.collect()) == [0, 0, 2, 3]
+
+
 def test_null_ids_and_repeated_rows(spark):
     rows = [(5, "alpha beta gamma delta", 1), (5, "alpha beta gamma delta", 2), (None, "alpha beta gamma delta", 3), (3, "other words entirely here", 4), (None, None, 5)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, extra int")
