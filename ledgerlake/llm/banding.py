@@ -185,12 +185,15 @@ def block_links(classed: DataFrame, bodies: DataFrame, similarity: float) -> Dat
     return links
 
 
-def band_classes(uniq: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def band_classes(uniq: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], similarity: float, more: DataFrame | None = None) -> DataFrame:
     """``node, root`` (of ``h``) of the texts that have a link inside a shared band; ``uniq``: ``h, words, bands``.
 
-    ``bodies_of`` gives ``h, body`` for a table of the ``h`` that share a band with another.
+    ``bodies_of`` gives ``h, body`` for a table of the ``h`` that share a band with another. ``more``
+    (``h, words, key``) adds buckets of other makes, whose texts are compared in the same way.
     """
     keyed = uniq.select("h", "words", F.explode("bands").alias("key"))
+    if more is not None:
+        keyed = keyed.unionByName(more)
     shared = staged(keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key"), "shared-bands")
     members = staged(keyed.join(maybe_broadcast(shared, 8), "key").select("key", "h", "words"), "members")
     # Bands that gather the same texts are one bucket.

@@ -117,6 +117,17 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     return pairs.unionByName(stars.distinct())
 
 
+def components(base: DataFrame, max_bits: int = 2) -> DataFrame:
+    """``fp, component_id`` of every distinct fingerprint of ``base`` (``doc_id, fp``): the smallest id that links reach. A staged table."""
+    distinct = base.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    comps = connected_components(links(distinct.select("fp"), max_bits))
+    linked = comps.join(distinct.withColumnRenamed("fp", "node"), "node")
+    roots = linked.groupBy("root").agg(F.min("least").alias("least"))
+    moved = comps.join(roots, "root").select(F.col("node").alias("fp"), F.col("least").alias("component_id"))
+    # A table of its own, so that joins with it are ones that Spark splits where many rows share a fingerprint.
+    return staged(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint, component_id``.
 
@@ -127,49 +138,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     go in. Other columns are ignored.
     """
     base = fingerprints(docs, id_col, text_col, shingle)
-    distinct = base.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comps = connected_components(links(distinct.select("fp"), max_bits))
-    linked = comps.join(distinct.withColumnRenamed("fp", "node"), "node")
-    roots = linked.groupBy("root").agg(F.min("least").alias("least"))
-    moved = comps.join(roots, "root").select(F.col("node").alias("fp"), F.col("least").alias("component_id"))
-    # A table of its own, so that the join below is one that Spark splits where many rows share a fingerprint.
-    named = staged(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
+    named = components(base, max_bits)
     return base.join(named.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """``doc_id, h`` (a hash of all words in order), ``words`` (their number) and ``bands`` (of the five-word shingles) for every row with an id. A staged table."""
+    """``doc_id, h`` (a hash of all words in order), ``fp`` (the fingerprint), ``words`` (their number) and ``bands`` (of the five-word shingles) for every row with an id. A staged table."""
     bands, rows = tune_bands(similarity, max_bands=MAX_BANDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, sizes, keys = [], [], []
+            hs, fps, sizes, keys = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = (text or b"").lower().split()
                 hs.append(xxhash.xxh64_intdigest(b" ".join(words)))
+                fps.append(fingerprint(text))
                 sizes.append(len(words))
                 # Texts too short for a shingle are alike only if they are equal.
                 whole = signatures(word_hashes(words), np.array([0]), np.array([len(words)]), bands, rows) if len(words) >= SHINGLE else np.zeros((0, bands), np.uint64)
                 keys.append(whole.ravel().view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "words", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (hs, fps)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "fp", "words", "bands"])
 
     rows_ = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return staged(rows_.mapInArrow(run, "doc_id bigint, h bigint, words bigint, bands array<bigint>"), "sketches")
+    return staged(rows_.mapInArrow(run, "doc_id bigint, h bigint, fp bigint, words bigint, bands array<bigint>"), "sketches")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, component_id`` of every row with an id: classes of texts with a Jaccard similarity of five-word shingles.
 
-    Texts that share a MinHash band are compared, whatever was replaced, trimmed or added; inside
-    each bucket links are exact. Texts of the same words in the same order are one node; null
+    Candidates are the components of SimHash fingerprints, as in ``near_duplicates``, and, as copies may
+    differ in more than two bits, texts that share a MinHash band, whatever was replaced, trimmed or
+    added. Both are buckets, and inside each bucket links are exact. Texts of the same words in the same order are one node; null
     and empty texts are such. Other columns are ignored.
     """
     base = sketches(docs, id_col, text_col, similarity)
-    nodes = staged(base.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"), F.first("bands").alias("bands")), "nodes")
+    nodes = staged(base.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("words").alias("words"), F.first("bands").alias("bands")), "nodes")
+    named = components(nodes.select(F.col("least").alias("doc_id"), "fp"))
+    similar = nodes.select("h", "words", "fp").join(named.hint("merge"), "fp").select("h", "words", F.xxhash64("component_id").alias("key"))
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def right_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # an id that repeats may have other texts too
             hs = batch.column(0).to_pylist()
             right = [xxhash.xxh64_intdigest(b" ".join(body.as_py().lower().split())) == h % 2**64 for h, body in zip(hs, batch.column(1))]
@@ -178,13 +187,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def bodies_of(asked: DataFrame) -> DataFrame:
         wanted = staged(asked.join(nodes.select("h", F.col("least").alias("doc_id")), "h").select("doc_id", "h"), "wanted")
         texts = texts_of(docs, wanted, id_col, text_col).join(wanted, "doc_id")
-        return texts.select("h", F.col("text").cast("binary").alias("body")).where("body is not null").mapInArrow(named, "h bigint, body binary")
+        return texts.select("h", F.col("text").cast("binary").alias("body")).where("body is not null").mapInArrow(right_texts, "h bigint, body binary")
 
-    comps = band_classes(nodes.select("h", "words", "bands"), bodies_of, similarity)
+    comps = band_classes(nodes.select("h", "words", "bands"), bodies_of, similarity, similar)
     rooted = nodes.select("h", "least").join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     out = staged(base.select("doc_id", "h").join(rooted.join(least, "root").select("h", "component_id"), "h").select("doc_id", "component_id"), "classes")
-    discard(base, nodes, comps)
+    discard(base, nodes, named, comps)
     return out
 
 

@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerlake.llm import ann, banding, common, langid, licenses, matroska, mixing, packing, simhash, substring_dedup, tokencount, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -670,6 +671,31 @@ def test_equal_fingerprints_are_no_copies(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 1}
 
 
+def test_near_dedup_goes_through_simhash(spark, monkeypatch):
+    """Copies within two bits are found where no band is shared, also over a chain, and only if they are alike."""
+    monkeypatch.setattr(simhash, "tune_bands", lambda *args, **more: (1, 256))  # a key that all but equal sets share
+    rng = random.Random(43)
+    texts = []
+    for i in range(30):
+        words = [f"t{i}w{rng.randrange(10**9)}" for _ in range(300)]
+        texts.append(" ".join(words))
+        for _ in range(4):
+            words = list(words)
+            words[rng.randrange(20, 280)] = f"e{rng.randrange(10**9)}"
+            texts.append(" ".join(words))
+    line = "alpha beta gamma delta epsilon zeta eta theta iota\n" * 200
+    texts += [line + " ".join(f"own{i}x{j}" for j in range(100)) for i in range(3)]
+    fps, sets = [plain_fingerprint(t) for t in texts], [five(t.lower().split()) for t in texts]
+    close = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    want = [(i, j) for i, j in close if near(sets[i], sets[j])]
+    assert len(want) > 20 and len(close) > len(want)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, texts)).collect()}
+    assert all(got[i] == got[j] for i, j in want)
+    assert all(got[i] == i for i in range(150, 153)) and all(got[i] >= i - i % 5 for i in got)
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs(spark, texts).selectExpr("*", "'en' lang", "'s' source", "0L n_chars"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
+
+
 def test_trimmed_extended_and_replaced_copies_are_found(spark):
     rng = random.Random(41)
     new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
